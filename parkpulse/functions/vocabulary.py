@@ -2,10 +2,16 @@
 
 # The seven comma-separated payload fields, in payload order.
 PAYLOAD_FIELDS = ("device_type", "detector", "battery", "fault", "rssi", "snr", "action")
-NUMERIC_FIELDS = ("battery", "rssi", "snr")
+NUMERIC_FIELDS = ("battery", "fault", "rssi", "snr")  # blank means missing
+TYPED_FIELDS = ("battery", "rssi", "snr")  # the fault is compared as text
 
-# A field label and its separator, e.g. "검지기: ".
-LABEL_PATTERN = r"[a-zA-Z|가-힣\s]+: "
+# A field label and its separator, e.g. "검지기: ". The class holds no colon, so a
+# possessive quantifier matches the same and never backtracks.
+LABEL_PATTERN = r"[a-zA-Z|가-힣\s]++: "
+
+# Words around the site in a sensor name, and the characters both are made of.
+DEVICE_PREFIX, REST_AREA = "주차센서_", "졸음쉼터"
+NAME_CHARACTERS = "주차센서_|졸음쉼터"
 
 # Detector states as sent, and after dropping the "차량" prefix.
 PARK, DEPART, BOOT = "차량주차", "차량출차", "초기부팅"

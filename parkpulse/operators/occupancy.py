@@ -76,46 +76,53 @@ def cells_in_days(stays: DataFrame, first: str, last: str) -> DataFrame:
     return hourly_occupancy(touching).where(in_days(F.col("hour"), first, last))
 
 
+# Buckets an hour can fall into, and how many there are.
+BUCKETS = {"hour": (F.hour, 24), "weekday": (F.weekday, 7)}
+
+
 def observed_mean(
     cells: DataFrame,
-    bucket: Column,
+    part: str,
     group: str | None = None,
     days: tuple[str, str] | None = None,
     digits: int = 1,
 ) -> DataFrame:
-    """Zero-filled mean percent per bucket of the hour (hour of day, weekday), over all sensors
-    or per `group` ('site' or 'sensor').
+    """Zero-filled mean percent per hour of day or weekday, over all sensors or per `group`
+    ('site' or 'sensor').
 
-    The sensors counted are those with any cell, the hours those observed inside `days`. One pass: grouping sets carry the sums
-    per (group, hour), the sensors per group and the hours observed at all; the second aggregate
-    is small - groups times buckets - and windows over it put the counts beside the sums.
+    The sensors counted are those with any cell, the hours those observed inside `days`. One
+    pass over the cells: grouping sets carry the sums per (group, hour), the sensors of each
+    group - once for every bucket - and the hours observed at all. The second aggregate is
+    small, groups times buckets, and a window over it puts the hours beside the sums.
     """
+    bucket_of, size = BUCKETS[part]
     cells = cells.withColumn("unit", F.col(group) if group else F.lit("all"))
     if days:
         cells = cells.withColumn("hour", F.when(in_days(F.col("hour"), *days), F.col("hour")))
-    cube = cells.groupingSets(
+    sets = cells.groupingSets(
         [["unit", "hour"], ["unit", "sensor"], ["hour"]], "unit", "hour", "sensor"
     ).agg(F.sum("pct100").alias("pct100"), F.grouping_id().alias("level"))
     # Bits of the level: unit, hour, sensor; a set bit is a column that was rolled up.
-    per_hour, per_sensor, hours = (F.col("level") == v for v in (0b001, 0b010, 0b101))
+    per_hour, per_sensor, observed = (F.col("level") == v for v in (0b001, 0b010, 0b101))
+    every = F.array(*[F.lit(b) for b in range(size)])
+    bucket = F.when(per_sensor, every).otherwise(F.array(bucket_of("hour")))
     small = (
-        cube.withColumn("bucket", bucket)
+        sets.withColumn("bucket", F.explode(bucket))
         .groupBy("unit", "bucket")
         .agg(
             F.sum(F.when(per_hour, F.col("pct100"))).alias("pct100"),
             F.count_if(per_sensor).alias("sensors"),
-            F.count_if(hours).alias("hours"),
+            F.count_if(observed).alias("hours"),
         )
     )
-    by_unit, by_bucket = Window.partitionBy("unit"), Window.partitionBy("bucket")
-    placed = small.select(
-        "unit", "bucket", "pct100",
-        F.max("sensors").over(by_unit).alias("sensors"),
-        F.max("hours").over(by_bucket).alias("hours"),
-    ).where(F.col("unit").isNotNull() & F.col("bucket").isNotNull())
-    mean = rounded_ratio(F.col("pct100"), F.col("sensors") * F.col("hours") * 100, digits)
+    hours = F.max("hours").over(Window.partitionBy("bucket"))
+    placed = small.withColumn("hours", hours).where(
+        F.col("unit").isNotNull() & F.col("bucket").isNotNull() & (F.col("hours") > 0)
+    )
+    total = F.coalesce("pct100", F.lit(0))
+    mean = rounded_ratio(total, F.col("sensors") * F.col("hours") * 100, digits)
     key = [F.col("unit").alias(group)] if group else []
-    return placed.select(*key, "bucket", mean.alias("occupancy_pct"))
+    return placed.select(*key, F.col("bucket").alias(part), mean.alias("occupancy_pct"))
 
 
 def sparse_mean(cells: DataFrame, keys: dict[str, Column]) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parkpulse.functions import vocabulary as V
 
 SENSOR_STYLES = ("full", "short", "charclass")
+NAME_END = 2**31 - 1
 
 
 def clean_sensor(sensor: Column, style: str = "short") -> Column:
@@ -18,12 +22,13 @@ def clean_sensor(sensor: Column, style: str = "short") -> Column:
     charclass  drop every character of either word, wherever it stands: 대신#01
     """
     if style == "charclass":
-        return F.regexp_replace(sensor, "[주차센서_|졸음쉼터]", "")
-    full = F.regexp_replace(sensor, "^주차센서_", "")
+        return F.translate(sensor, V.NAME_CHARACTERS, "")
+    prefixed = sensor.startswith(V.DEVICE_PREFIX)
+    full = F.when(prefixed, F.substring(sensor, len(V.DEVICE_PREFIX) + 1, NAME_END)).otherwise(sensor)
     if style == "full":
         return full
     if style == "short":
-        return F.regexp_replace(full, "^(.*?)졸음쉼터.", "$1")
+        return F.regexp_replace(full, f"^(.*?){V.REST_AREA}.", "$1")
     raise ValueError(f"sensor style must be one of {SENSOR_STYLES}")
 
 
@@ -41,9 +46,22 @@ def site_of(sensor: Column) -> Column:
     return F.substring(sensor, 1, 2)
 
 
-def _fields(limit: int) -> dict[str, Column]:
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed exactly once per row.
+
+    Catalyst pushes filters below a projection and repeats the expression in them, and filters do
+    not share common parts; it does not push through a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _with_parts(named: DataFrame, limit: int) -> DataFrame:
     parts = F.split(F.regexp_replace("payload", V.LABEL_PATTERN, ""), ",", limit)
-    return {name: F.get(parts, F.lit(i)) for i, name in enumerate(V.PAYLOAD_FIELDS)}
+    return once(named, "parts", parts).drop("payload")
+
+
+def _fields() -> dict[str, Column]:
+    return {name: F.get("parts", F.lit(i)) for i, name in enumerate(V.PAYLOAD_FIELDS)}
 
 
 def recode_action(action: Column) -> Column:
@@ -68,32 +86,33 @@ def parse_guarded(named: DataFrame) -> DataFrame:
     """Typed messages; a surplus of commas stays in the action, incomplete messages go.
 
     A field counts as missing when the payload is too short for it, or when a numeric field is
-    blank. A numeric field with other text keeps its message and becomes NULL afterwards.
+    blank. A numeric field with other text keeps its message and becomes NULL.
     """
-    fields = _fields(len(V.PAYLOAD_FIELDS))
-    complete = named.select("row_id", "sensor", "ts", *[c.alias(n) for n, c in fields.items()])
-    complete = complete.withColumns(
-        {n: F.nullif(F.trim(F.col(n)), F.lit("")) for n in V.NUMERIC_FIELDS}
-    ).na.drop("any", subset=["sensor", "ts", *V.PAYLOAD_FIELDS])
-    fault = F.when(F.col("fault") == V.FAULT_RESET, V.FAULT_RESET_LABEL).otherwise(F.col("fault"))
-    return complete.withColumns(
-        {n: F.col(n).try_cast("double") for n in V.NUMERIC_FIELDS}
-        | {"fault": fault, "action": recode_action(F.col("action"))}
+    field = _fields()
+    complete = _with_parts(named, len(V.PAYLOAD_FIELDS)).where(
+        (F.size("parts") == len(V.PAYLOAD_FIELDS))
+        & reduce(and_, [F.trim(field[n]) != "" for n in V.NUMERIC_FIELDS])
+        & F.col("sensor").isNotNull()
+        & F.col("ts").isNotNull()
     )
+    fault = F.when(field["fault"] == V.FAULT_RESET, V.FAULT_RESET_LABEL)
+    typed = field | {n: field[n].try_cast("double") for n in V.TYPED_FIELDS}
+    typed |= {"fault": fault.otherwise(field["fault"]), "action": recode_action(field["action"])}
+    return complete.select("row_id", "sensor", "ts", *[c.alias(n) for n, c in typed.items()])
 
 
 def parse_precedence(named: DataFrame) -> DataFrame:
     """Every message kept; short payloads leave NULL fields; the action becomes a category
     except on boot messages and where the detector is missing."""
-    fields = _fields(-1)
-    detector = F.replace(fields["detector"], F.lit("차량"), F.lit(""))
-    keep_action = fields["detector"].isNull() | (detector == V.BOOT)
-    return named.select(
+    field = _fields()
+    detector = F.replace(field["detector"], F.lit("차량"), F.lit(""))
+    keep_action = field["detector"].isNull() | (detector == V.BOOT)
+    return _with_parts(named, -1).select(
         "row_id", "sensor", "ts",
         detector.alias("detector"),
-        fields["fault"].alias("fault"),
-        F.when(keep_action, fields["action"])
-        .otherwise(action_category(fields["action"])).alias("action"),
+        field["fault"].alias("fault"),
+        F.when(keep_action, field["action"])
+        .otherwise(action_category(field["action"])).alias("action"),
     )
 
 

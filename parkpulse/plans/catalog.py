@@ -59,9 +59,7 @@ def _in(part: str) -> Column:
 
 
 def _observed(raw: DataFrame, part: str, group: str | None = None, days=None) -> DataFrame:
-    bucket = {"hour": F.hour, "weekday": F.weekday}[part]("hour")
-    mean = O.observed_mean(P.guarded_cells(raw), bucket, group, days)
-    return mean.withColumnRenamed("bucket", part)
+    return O.observed_mean(P.guarded_cells(raw), part, group, days)
 
 
 def _sparse(raw: DataFrame, period: str) -> DataFrame:
@@ -84,6 +82,10 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
+def _nine_digits(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.format_string("%.8e", c).cast("double") for c in columns})
+
+
 def _action_recode(raw: DataFrame) -> DataFrame:
     messages = P.guarded_messages(raw)
     return messages.groupBy("fault", "action").agg(F.count(F.lit(1)).alias("n"))
@@ -262,10 +264,11 @@ def catalog() -> dict[str, Query]:
         # group comparison
         "anova_dwell_by_site": _raw(
             lambda raw: _rounded(
-                G.anova(_responses(raw), "site", ("dwell_sec", "arrival_hour"))
-                .withColumn("ss_between", F.col("ss_between") / 3600)
-                .withColumn("ss_within", F.col("ss_within") / 3600),
-                ss_between=3, ss_within=1, f_value=6, p_value=6,
+                _nine_digits(
+                    G.anova(_responses(raw), "site", ("dwell_sec", "arrival_hour")),
+                    "ss_between", "ss_within",
+                ),
+                f_value=6, p_value=6,
             )
         ),
         "manova_dwell": _raw(
@@ -276,8 +279,8 @@ def catalog() -> dict[str, Query]:
         ),
         "tukey_dwell": _raw(
             lambda raw: _rounded(
-                G.tukey(_responses(raw), "site", "dwell_sec"),
-                diff=3, lower=2, upper=2, std_error=3, q_value=6, p_adjusted=4,
+                G.tukey(_responses(raw), "site", "dwell_sec").drop("lower", "upper"),
+                diff=3, std_error=3, q_value=6, p_adjusted=4,
             )
         ),
     }
