@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from parkpulse.session import ensure_checkpoint_dir
 
-SENSOR_ROW_LIMIT = 5_000_000
+# Rows one task may sort; a few gigabytes of messages.
+SENSOR_ROW_LIMIT = 20_000_000
 SLICE = "slice"
 
 

@@ -155,23 +155,21 @@ def grid_bounds(stays: DataFrame) -> DataFrame:
     )
 
 
-def _with_grid(sensors: DataFrame, stays: DataFrame) -> DataFrame:
-    bounds = grid_bounds(stays)
-    return sensors.select(
-        "sensor",
-        bounds.select("first_hour").scalar().alias("first_hour"),
-        bounds.select("last_hour").scalar().alias("last_hour"),
-    )
+def _with_grid(df: DataFrame, stays: DataFrame) -> DataFrame:
+    """Put the bounds beside every row; they are two values, read by one scalar subquery."""
+    bounds = grid_bounds(stays).select(F.struct("first_hour", "last_hour")).scalar()
+    return df.withColumn("grid", bounds).select("*", "grid.*").drop("grid")
+
+
+def _grid_hours() -> Column:
+    return whole_hours(F.col("first_hour"), F.col("last_hour")) + 1
 
 
 def dense_grid(sensors: DataFrame, stays: DataFrame) -> DataFrame:
     """Every sensor at every hour of the grid, with 0 where it was free."""
+    hours = F.sequence("first_hour", "last_hour", F.expr("INTERVAL 1 HOUR"))
     empty = _with_grid(sensors, stays).select(
-        "sensor",
-        F.explode(
-            F.sequence("first_hour", "last_hour", F.expr("INTERVAL 1 HOUR"))
-        ).alias("hour"),
-        F.lit(0).cast("bigint").alias("occupied_sec"),
+        "sensor", F.explode(hours).alias("hour"), F.lit(0).cast("bigint").alias("occupied_sec")
     )
     cells = stay_hours(stays).select("sensor", "hour", "occupied_sec")
     return (
@@ -182,30 +180,25 @@ def dense_grid(sensors: DataFrame, stays: DataFrame) -> DataFrame:
 
 
 def hour_profile(sensors: DataFrame, stays: DataFrame) -> DataFrame:
-    """Mean occupied fraction per sensor and hour of day over the dense grid, for all sensors."""
-    cells = hourly_occupancy(stays).groupBy("sensor", F.hour("hour").alias("hour")).agg(
-        F.sum("occupied_sec").alias("occupied_sec")
+    """Mean occupied fraction per sensor and hour of day over the dense grid, for all sensors.
+
+    An hour of day outside a grid shorter than a day is NULL.
+    """
+    every_hour = F.explode(F.sequence(F.lit(0), F.lit(23)))
+    empty = sensors.select(
+        "sensor", every_hour.alias("hour"), F.lit(0).cast("bigint").alias("occupied_sec")
     )
-    grid = _with_grid(sensors, stays)
-    # How often each hour of day occurs in the grid: whole days plus one where it is in the rest.
-    total = whole_hours(F.col("first_hour"), F.col("last_hour")) + 1
-    since_first = F.pmod(F.col("hour") - F.hour("first_hour") + 24, F.lit(24))
-    times = F.call_function("div", total - since_first + 23, F.lit(24))
-    return (
-        grid.select(
-            "sensor", "first_hour", "last_hour",
-            F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"),
-        )
-        .withColumn("times", times)
-        .join(cells, ["sensor", "hour"], "left")
-        .select(
-            "sensor", "hour",
-            F.when(
-                F.col("times") > 0,
-                ratio(F.coalesce("occupied_sec", F.lit(0)), F.col("times") * 3600),
-            ).alias("fraction"),
-        )
+    occupied = stay_hours(stays).select("sensor", F.hour("hour").alias("hour"), "occupied_sec")
+    sums = (
+        empty.unionByName(occupied)
+        .groupBy("sensor", "hour")
+        .agg(F.sum("occupied_sec").alias("occupied_sec"))
     )
+    # How often an hour of day occurs: once per whole day, and once more inside the rest.
+    since_first = F.pmod(F.col("hour") - F.hour("first_hour"), F.lit(24))
+    times = F.call_function("div", _grid_hours() - since_first + 23, F.lit(24))
+    fraction = ratio(F.col("occupied_sec"), F.nullif(times, F.lit(0)) * 3600)
+    return _with_grid(sums, stays).select("sensor", "hour", fraction.alias("fraction"))
 
 
 def transposed_profile(profile: DataFrame) -> DataFrame:
@@ -217,20 +210,27 @@ def transposed_profile(profile: DataFrame) -> DataFrame:
 def column_summary(sensors: DataFrame, stays: DataFrame) -> DataFrame:
     """Minimum, quartiles, mean and maximum of each sensor's column of the dense grid, as
     fractions. The empty cells enter as one row per sensor with their count as frequency."""
-    grid = _with_grid(sensors, stays).withColumn(
-        "hours", whole_hours(F.col("first_hour"), F.col("last_hour")) + 1
-    )
     counted = (
-        hourly_occupancy(stays)
+        stay_hours(stays)
+        .groupBy("sensor", "hour")
+        .agg(F.sum("occupied_sec").alias("occupied_sec"))
         .groupBy("sensor", "occupied_sec")
         .agg(F.count(F.lit(1)).alias("times"))
     )
-    filled = counted.groupBy("sensor").agg(F.sum("times").alias("cells"))
-    empty = grid.join(filled, "sensor", "left").select(
-        "sensor", F.lit(0).cast("bigint").alias("occupied_sec"),
-        (F.col("hours") - F.coalesce("cells", F.lit(0))).alias("times"),
+    blank = sensors.select(
+        "sensor", F.lit(None).cast("bigint").alias("occupied_sec"),
+        F.lit(0).cast("bigint").alias("times"),
+    )
+    cells = F.sum("times").over(Window.partitionBy("sensor"))
+    free = F.when(F.col("occupied_sec").isNull(), _grid_hours() - F.col("cells"))
+    values = (
+        _with_grid(counted.unionByName(blank).withColumn("cells", cells), stays)
+        .select(
+            "sensor", F.coalesce("occupied_sec", F.lit(0)).alias("occupied_sec"),
+            F.coalesce(free, "times").alias("times"),
+        )
+        .where(F.col("times") > 0)
     )
-    values = counted.unionByName(empty.where(F.col("times") > 0))
     fraction = F.col("occupied_sec") / F.lit(3600.0)
     quartiles = F.percentile(
         fraction, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("times")
@@ -274,8 +274,7 @@ def to_wide(cells: DataFrame, sensors: Sequence[str] | None = None) -> DataFrame
     )
 
 
-def from_wide(wide: DataFrame) -> DataFrame:
-    """Back to long form (hour, sensor, occupancy_pct), one row per hour and sensor column."""
-    sensors = [c for c in wide.columns if c != "hour"]
-    quoted = [F.col(f"`{c}`") for c in sensors]
-    return wide.unpivot(["hour"], quoted, "sensor", "occupancy_pct")
+def from_wide(wide: DataFrame, key: str, name: str, value: str) -> DataFrame:
+    """Back to long form: one row per key and value column."""
+    columns = [F.col(f"`{c}`") for c in wide.columns if c != key]
+    return wide.unpivot([key], columns, name, value)

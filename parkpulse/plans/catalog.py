@@ -42,6 +42,10 @@ def _sensors(raw: DataFrame) -> DataFrame:
     return R.sensor_list(P.guarded_messages(raw, "full"))
 
 
+def _profile(raw: DataFrame) -> DataFrame:
+    return O.transposed_profile(O.hour_profile(_sensors(raw), _batch_stays(raw)))
+
+
 def _percent(cells: DataFrame) -> DataFrame:
     return cells.select(
         "sensor", "hour", "occupied_sec",
@@ -233,7 +237,9 @@ def catalog() -> dict[str, Query]:
             lambda raw: O.dense_grid(_sensors(raw), _batch_stays(raw))
         ),
         "occupancy_wide": _raw(lambda raw: O.to_wide(P.guarded_cells(raw))),
-        "occupancy_unpivot": _raw(lambda raw: O.from_wide(O.to_wide(P.guarded_cells(raw)))),
+        "occupancy_unpivot": _raw(
+            lambda raw: O.from_wide(_profile(raw), "sensor", "hour_column", "fraction")
+        ),
         "occupancy_by_hour": _raw(
             lambda raw: R.with_reference_value(_observed(raw, "hour"), "occupancy_pct")
         ),
@@ -244,9 +250,7 @@ def catalog() -> dict[str, Query]:
                 site_of(F.col("sensor")).alias("site"), "sensor", "hour", "occupancy_pct"
             )
         ),
-        "occupancy_profile_transposed": _raw(
-            lambda raw: O.transposed_profile(O.hour_profile(_sensors(raw), _batch_stays(raw)))
-        ),
+        "occupancy_profile_transposed": _raw(_profile),
         "occupancy_summary_stats": _raw(
             lambda raw: O.column_summary(_sensors(raw), _batch_stays(raw))
         ),

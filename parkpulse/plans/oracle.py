@@ -484,10 +484,10 @@ FROM marked""",
         "occupancy_wide": f"""{V1_CELLS}
 PIVOT (SELECT hour, sensor, pct100::DOUBLE / 100 AS v FROM cells)
 ON sensor USING coalesce(first(v), 0) GROUP BY hour""",
-        "occupancy_unpivot": f"""{V1_CELLS}
-SELECT h.hour, s.sensor, coalesce(c.pct100, 0)::DOUBLE / 100 AS occupancy_pct
-FROM (SELECT DISTINCT hour FROM cells) h CROSS JOIN (SELECT DISTINCT sensor FROM cells) s
-LEFT JOIN cells c ON c.hour = h.hour AND c.sensor = s.sensor""",
+        "occupancy_unpivot": f"""{BATCH_DENSE}
+SELECT sensor, printf('h%02d', hour(hour)) AS hour_column,
+  sum(occupied_sec)::DOUBLE / (count(*) * 3600)::DOUBLE AS fraction
+FROM dense GROUP BY ALL""",
         "occupancy_by_hour": f"{_observed('hour')} SELECT hour, occupancy_pct, "
         f"{_mean_of('occupancy', 'occupancy_pct', 1)} AS reference FROM occupancy",
         "occupancy_by_hour_in_range": f"{_observed('hour', days=IN_RANGE)} "

@@ -151,6 +151,6 @@ def test_wide_and_back(spark, two_sensors):
     wide = O.to_wide(cells)
     assert wide.columns == ["hour", "대신#01", "옥천#02"]
     assert [tuple(r)[1:] for r in wide.orderBy("hour").collect()] == [(99.97, 25.0), (50.0, 0.0)]
-    assert O.from_wide(wide).count() == 4
+    assert O.from_wide(wide, "hour", "sensor", "occupancy_pct").count() == 4
     with pytest.raises(ValueError, match="long form"):
         O.to_wide(cells, [str(i) for i in range(10_001)])
