@@ -10,6 +10,7 @@ with one row per slice.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,19 +35,23 @@ def hot_sensors(messages: DataFrame, row_limit: int = SENSOR_ROW_LIMIT) -> DataF
 
 
 def slice_hot_sensors(
-    messages: DataFrame, hot: DataFrame, row_limit: int = SENSOR_ROW_LIMIT
+    messages: DataFrame,
+    hot: DataFrame,
+    row_limit: int = SENSOR_ROW_LIMIT,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add `slice`: 0 for ordinary sensors, above 0 and rising with time for hot ones.
 
-    The slices are checkpointed: later branches must all see the same cut, also after an
-    executor is lost.
+    `prepare` is applied to the hot rows before they are cut. The slices are checkpointed: later
+    branches must all see the same cut, also after an executor is lost.
     """
     ensure_checkpoint_dir(messages.sparkSession)
     slices = ceil(hot.agg(F.sum("rows")).first()[0] / row_limit)
     keys = F.broadcast(hot.select(F.col("sensor").alias("hot_sensor")))
     same = F.col("sensor").eqNullSafe(F.col("hot_sensor"))
+    rows = messages.join(keys, same, "left_semi")
     sliced = (
-        messages.join(keys, same, "left_semi")
+        (prepare(rows) if prepare else rows)
         .repartitionByRange(slices, "sensor", *message_order())
         .withColumn(SLICE, F.spark_partition_id() + 1)
         .checkpoint()

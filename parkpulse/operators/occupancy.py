@@ -91,7 +91,7 @@ def observed_mean(
     ('site' or 'sensor').
 
     The sensors counted are those with any cell, the hours those observed inside `days`. One
-    pass over the cells: grouping sets carry the sums per (group, hour), the sensors of each
+    pass over the cells: grouping sets carry the sums per (group, bucket), the sensors of each
     group - once for every bucket - and the hours observed at all. The second aggregate is
     small, groups times buckets, and a window over it puts the hours beside the sums.
     """
@@ -99,18 +99,27 @@ def observed_mean(
     cells = cells.withColumn("unit", F.col(group) if group else F.lit("all"))
     if days:
         cells = cells.withColumn("hour", F.when(in_days(F.col("hour"), *days), F.col("hour")))
-    sets = cells.groupingSets(
-        [["unit", "hour"], ["unit", "sensor"], ["hour"]], "unit", "hour", "sensor"
-    ).agg(F.sum("pct100").alias("pct100"), F.grouping_id().alias("level"))
-    # Bits of the level: unit, hour, sensor; a set bit is a column that was rolled up.
-    per_hour, per_sensor, observed = (F.col("level") == v for v in (0b001, 0b010, 0b101))
+    sets = (
+        cells.withColumn("bucket", bucket_of("hour"))
+        .groupingSets(
+            [["unit", "bucket"], ["unit", "sensor"], ["hour"]],
+            "unit", "bucket", "sensor", "hour",
+        )
+        .agg(F.sum("pct100").alias("pct100"), F.grouping_id().alias("level"))
+    )
+    # Bits of the level: unit, bucket, sensor, hour; a set bit is a column that was rolled up.
+    per_bucket, per_sensor, observed = (F.col("level") == v for v in (0b0011, 0b0101, 0b1110))
     every = F.array(*[F.lit(b) for b in range(size)])
-    bucket = F.when(per_sensor, every).otherwise(F.array(bucket_of("hour")))
+    placed_in = (
+        F.when(per_sensor, every)
+        .when(observed, F.array(bucket_of("hour")))
+        .otherwise(F.array("bucket"))
+    )
     small = (
-        sets.withColumn("bucket", F.explode(bucket))
+        sets.withColumn("bucket", F.explode(placed_in))
         .groupBy("unit", "bucket")
         .agg(
-            F.sum(F.when(per_hour, F.col("pct100"))).alias("pct100"),
+            F.sum(F.when(per_bucket, F.col("pct100"))).alias("pct100"),
             F.count_if(per_sensor).alias("sensors"),
             F.count_if(observed).alias("hours"),
         )

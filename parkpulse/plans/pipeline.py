@@ -10,7 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from parkpulse.operators.classify import classify_guarded, classify_precedence
-from parkpulse.operators.neighbours import SENSOR_ROW_LIMIT, hot_sensors, slice_hot_sensors
+from parkpulse.operators.neighbours import (
+    SENSOR_ROW_LIMIT,
+    SLICE,
+    hot_sensors,
+    slice_hot_sensors,
+)
 from parkpulse.operators.occupancy import hourly_occupancy
 from parkpulse.operators.parse import (
     drop_duplicates,
@@ -26,15 +31,16 @@ def guarded_messages(
 ) -> DataFrame:
     """Parsed, complete, distinct messages, placed for the windows that follow.
 
-    Without a hot sensor the messages are shuffled once, by sensor, and the copies are dropped
-    in place. With one, copies are dropped by a pre-aggregated shuffle before the slicing.
+    The messages are shuffled once, by sensor, and copies are dropped in place. Copies of a hot
+    sensor are dropped before, by a pre-aggregated shuffle, since one message may fill a task.
     """
     named = with_names(raw, style)
     parsed = parse_guarded(named)
     hot = hot_sensors(named, row_limit)
     if hot is None:
         return drop_duplicates(parsed.repartition("sensor"))
-    return slice_hot_sensors(drop_duplicates(parsed), hot, row_limit)
+    sliced = slice_hot_sensors(parsed, hot, row_limit, prepare=drop_duplicates)
+    return drop_duplicates(sliced.repartition("sensor", SLICE))
 
 
 def guarded(

@@ -70,3 +70,10 @@ def test_windows_over_slices_stay_partitioned(raw):
     assert "SinglePartition" not in plan_of(df)
     windows = [line for line in plan_of(df).splitlines() if re.search(r"[+:-] \*?.*Window \[", line)]
     assert windows and all("slice" in line for line in windows)
+
+
+def test_ordinary_sensors_are_shuffled_once_beside_hot_ones(raw):
+    """No second exchange on all message columns to drop copies."""
+    lines = [x for x in plan_of(P.guarded(raw, row_limit=70)).splitlines() if "Exchange" in x]
+    assert any("hashpartitioning(sensor" in line and "slice" in line for line in lines)
+    assert not any("device_type" in line for line in lines)
