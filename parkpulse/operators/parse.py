@@ -46,18 +46,15 @@ def site_of(sensor: Column) -> Column:
     return F.substring(sensor, 1, 2)
 
 
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed exactly once per row.
+def _split_once(named: DataFrame, limit: int) -> DataFrame:
+    """Messages with the payload split into `parts`, each value computed once per row.
 
-    Catalyst pushes filters below a projection and repeats the expression in them, and filters do
+    Catalyst pushes filters below a projection and repeats its expressions in them, and filters do
     not share common parts; it does not push through a generator.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
-def _with_parts(named: DataFrame, limit: int) -> DataFrame:
     parts = F.split(F.regexp_replace("payload", V.LABEL_PATTERN, ""), ",", limit)
-    return once(named, "parts", parts).drop("payload")
+    row = F.struct("row_id", "sensor", "ts", parts.alias("parts"))
+    return named.select(F.inline(F.array(row)))
 
 
 def _fields() -> dict[str, Column]:
@@ -89,7 +86,7 @@ def parse_guarded(named: DataFrame) -> DataFrame:
     blank. A numeric field with other text keeps its message and becomes NULL.
     """
     field = _fields()
-    complete = _with_parts(named, len(V.PAYLOAD_FIELDS)).where(
+    complete = _split_once(named, len(V.PAYLOAD_FIELDS)).where(
         (F.size("parts") == len(V.PAYLOAD_FIELDS))
         & reduce(and_, [F.trim(field[n]) != "" for n in V.NUMERIC_FIELDS])
         & F.col("sensor").isNotNull()
@@ -107,7 +104,7 @@ def parse_precedence(named: DataFrame) -> DataFrame:
     field = _fields()
     detector = F.replace(field["detector"], F.lit("차량"), F.lit(""))
     keep_action = field["detector"].isNull() | (detector == V.BOOT)
-    return _with_parts(named, -1).select(
+    return _split_once(named, -1).select(
         "row_id", "sensor", "ts",
         detector.alias("detector"),
         field["fault"].alias("fault"),
