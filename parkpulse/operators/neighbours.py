@@ -28,10 +28,14 @@ def message_order() -> list[Column]:
 
 
 def hot_sensors(messages: DataFrame, row_limit: int = SENSOR_ROW_LIMIT) -> DataFrame | None:
-    """Sensors with more than `row_limit` rows (at most rows / limit of them), or None."""
+    """Sensors with more than `row_limit` rows and their row counts, or None.
+
+    One pass over the sensor column. There are at most rows / limit such sensors, so the answer
+    is kept as a small local table instead of being computed again wherever it is used.
+    """
     counts = messages.groupBy("sensor").agg(F.count(F.lit(1)).alias("rows"))
-    hot = counts.where(F.col("rows") > row_limit)
-    return None if hot.isEmpty() else hot
+    hot = counts.where(F.col("rows") > row_limit).collect()
+    return messages.sparkSession.createDataFrame(hot, counts.schema) if hot else None
 
 
 def slice_hot_sensors(
