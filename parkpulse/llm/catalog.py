@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from parkpulse.llm import bpe, exact_dedup
+from parkpulse.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_chat": chat.op2_chat,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_token_files": token_files.op5_token_files,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": exact_dedup.SQL}
+    return {"op2_chat": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
