@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from parkpulse.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, token_files
+from parkpulse.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, language_id, token_files, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc": warc.op1_warc,
         "op2_chat": chat.op2_chat,
+        "op3_language_id": language_id.op3_language_id,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_token_files": token_files.op5_token_files,
         "op7_byte_bpe": bpe.op7_byte_bpe,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc": warc.SQL, "op2_chat": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}

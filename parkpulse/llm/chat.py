@@ -213,4 +213,4 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(4 + length(role) + role_escapes + 2 + length(text) + escapes + 8) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
-""".replace("'\'", "'\'")
+"""
