@@ -28,6 +28,7 @@ columns are ignored. Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from parkpulse.llm.graph import components
 from parkpulse.llm.shared import partitions, read_table, written
-from parkpulse.llm.wordhash import NOT_SPACE, distinct, mix, rolling, slices, text_buffers, words
+from parkpulse.llm.wordhash import NOT_SPACE, counted, distinct, mix, rolling, slices, text_buffers, words
 
 N = 5
 #: Counters of the sketch (a power of two); one byte each is sent to the tasks.
@@ -52,19 +53,17 @@ _ENTRY_C = np.dtype([*_ENTRY.descr, ("comp", "<i8")])
 _PAIRS = "a bigint, b bigint, l int, shared int"
 
 
-def shingle_sets(batch) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text of (doc_id, text)."""
+def shingle_sets(batch) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """The ids and the sorted distinct shingle hashes of (doc_id, text), a slice at a time."""
     raw, at = text_buffers(batch.column(1))
-    out = []
     for first, last in slices(at):
         hashes, _, _, of = words(raw, at[first : last + 1], NOT_SPACE)
         grams = rolling(hashes, N)
-        for a, z in zip(of[:-1].tolist(), of[1:].tolist(), strict=True):
-            if z - a >= N:
-                out.append(distinct(grams[a : z - N + 1]))
-            else:
-                out.append(rolling(hashes[a:z], z - a) if z > a else hashes[:0])
-    return out
+        sets = [
+            distinct(grams[a : z - N + 1]) if z - a >= N else rolling(hashes[a:z], z - a) if z > a else hashes[:0]
+            for a, z in zip(of[:-1].tolist(), of[1:].tolist(), strict=True)
+        ]
+        yield batch.column(0).slice(first, last - first), sets
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
@@ -74,29 +73,26 @@ def _first_pass(docs: DataFrame) -> DataFrame:
         names = ["doc_id", "n_shingles", "digest", "segment", "counts"]
         sketch = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
-            sets = shingle_sets(batch)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            at, n = np.unique((flat & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
-            sketch[at] += n.astype(np.uint32)
-            rows = len(sets)
-            digests = [hashlib.blake2b(s.data, digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                 pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
-        segments, counts = [], []
+            for ids, sets in shingle_sets(batch):
+                at, n = counted((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int32))
+                sketch[at] += n.astype(np.uint32)
+                rows = len(sets)
+                digests = [hashlib.blake2b(s.data, digest_size=16).digest() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                     pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         for k, part in enumerate(sketch.reshape(-1, SEGMENT)):
             at = np.flatnonzero(part)
-            if len(at):
-                segments.append(k)
-                small = np.minimum(part, 0xFFFF).astype("<u2")
-                if 2 * len(at) < SEGMENT // 2:
-                    counts.append(b"s" + at.astype("<u2").tobytes() + small[at].tobytes())
-                else:
-                    counts.append(b"d" + small.tobytes())
-        rows = len(segments)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()),
-             pa.array(segments, pa.int32()), pa.array(counts, pa.binary())], names)
+            if not len(at):
+                continue
+            small = np.minimum(part, 0xFFFF).astype("<u2")
+            if 4 * len(at) < SEGMENT:
+                counts = b"s" + at.astype("<u2").tobytes() + small[at].tobytes()
+            else:
+                counts = b"d" + small.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()),
+                 pa.array([k], pa.int32()), pa.array([counts], pa.binary())], names)
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, segment int, counts binary")
 
@@ -179,14 +175,16 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, shards: int) -> DataFrame:
 
     def run(batches):
         levels = sent.value
+        found, held = [], 0
         for batch in batches:
-            found = [
-                _prefix_entries(doc, s, levels, base)
-                for doc, s in zip(batch.column(0).to_pylist(), shingle_sets(batch), strict=True)
-                if len(s)
-            ]
-            if found:
-                yield _sharded(np.concatenate(found), shards)
+            for ids, sets in shingle_sets(batch):
+                found += [_prefix_entries(d, s, levels, base) for d, s in zip(ids.to_pylist(), sets, strict=True) if len(s)]
+                held += sum(map(len, sets))
+                if held > 1_000_000:
+                    yield _sharded(np.concatenate(found), shards)
+                    found, held = [], 0
+        if found:
+            yield _sharded(np.concatenate(found), shards)
 
     return docs.mapInArrow(run, "shard int, entries binary")
 
@@ -315,8 +313,9 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def load(batches):
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc", "shingles"])
+            for ids, sets in shingle_sets(batch):
+                data = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, data], ["doc", "shingles"])
 
     def verify(batches):
         for batch in batches:
