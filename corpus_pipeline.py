@@ -1,6 +1,79 @@
-"""The corpus pipeline: stages come with their operators."""
+"""The corpus pipeline: five stages, each working on all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+`documents`, whatever these are. Each result is written as Parquet and read again.
+
+A document is known by its doc_id. Rows that repeat a doc_id repeat the document: the exact stage
+leaves one of them. Rows without a doc_id share one decision per stage, and the n-gram stage, which
+cannot name them, keeps them. Null text has no language and goes in the first stage. An empty table
+passes through all stages empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parkpulse.llm import bpe, decontaminate, exact_dedup, jaccard_join, language_id
+from parkpulse.llm.shared import read_table, shared_folder, written
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is not among `ids` (one column, doc_id)."""
+    gone = written(ids.select(F.col("doc_id").alias("gone_id")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is found go."""
+    return language_id.with_language(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, and of rows with one doc_id, one stays."""
+    found = written(exact_dedup.exact_dedup(docs))
+    kept = _without(docs, found.where("NOT kept").select("doc_id"))
+    again = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.limit(1).count():
+        return kept
+    repeated = kept.join(again, kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    return _without(kept, again).unionByName(repeated)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by links, the one with the smallest doc_id stays."""
+    found = jaccard_join.jaccard_components(docs)
+    return _without(docs, found.where("component_id <> doc_id").select("doc_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth of the words or more stands in benchmark windows go."""
+    found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated").select("doc_id"))
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
+    import public_tokenizers
+
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("byte_bpe", encode_tokens),
+]
+
+#: Language ID, the components of links and the merges are beyond SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    for number, (name, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{number}-{name}")
+    return docs

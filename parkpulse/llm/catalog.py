@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parkpulse.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_scoring, token_files, warc
+from parkpulse.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_scoring, pii, token_files, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_language_id": language_id.op3_language_id,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_token_files": token_files.op5_token_files,
+        "op6_pii": pii.op6_pii,
         "op7_byte_bpe": bpe.op7_byte_bpe,
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,

@@ -124,41 +124,65 @@ def mixture(bucket: np.ndarray, probabilities: np.ndarray) -> tuple[np.ndarray,
     return chosen, share
 
 
+def _batch_mixtures(column: pa.Array, langs: list[str], probabilities: np.ndarray):
+    """(language, score, number of languages) of each text."""
+    raw, at = text_buffers(column)
+    out = []
+    for first, last in slices(at):
+        bucket, of = trigrams(raw, at[first : last + 1])
+        for i in range(first, last):
+            mine = bucket[of[i - first] : of[i - first + 1]]
+            if not langs or not _LETTER.search(raw[at[i] : at[i + 1]].tobytes().decode()):
+                out.append((UNKNOWN, 0.0, 0))
+                continue
+            if len(mine) == 0:  # one or two letters
+                short = np.concatenate([[0x20], _SEEN[raw[at[i] : at[i + 1]]], [0x20, 0x20]]).astype(np.uint8)
+                mine, _ = trigrams(short, np.array([0, len(short)]))
+            chosen, share = mixture(mine, probabilities)
+            best = int(np.argmax(share))
+            out.append((langs[chosen[best]], float(min(1.0, share[best])), len(chosen)))
+    return list(zip(*out, strict=True)) or [(), (), ()]
+
+
 def predict(docs: DataFrame, langs: list[str], probabilities: np.ndarray) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_languages."""
     sent = docs.sparkSession.sparkContext.broadcast((langs, probabilities))
 
     def run(batches):
-        langs, probabilities = sent.value
         for batch in batches:
-            raw, at = text_buffers(batch.column(2))
-            named, scores, sizes = [], [], []
-            for first, last in slices(at):
-                bucket, of = trigrams(raw, at[first : last + 1])
-                for i in range(first, last):
-                    mine = bucket[of[i - first] : of[i - first + 1]]
-                    if not langs or not _LETTER.search(raw[at[i] : at[i + 1]].tobytes().decode()):
-                        named.append(UNKNOWN), scores.append(0.0), sizes.append(0)
-                        continue
-                    if len(mine) == 0:  # one or two letters
-                        short = np.concatenate([[0x20], _SEEN[raw[at[i] : at[i + 1]]], [0x20, 0x20]]).astype(np.uint8)
-                        mine, _ = trigrams(short, np.array([0, len(short)]))
-                    chosen, share = mixture(mine, probabilities)
-                    best = int(np.argmax(share))
-                    named.append(langs[chosen[best]]), scores.append(float(min(1.0, share[best]))), sizes.append(len(chosen))
+            named, scores, sizes = _batch_mixtures(batch.column(2), *sent.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(named, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())],
                 ["doc_id", "held_out", "lang_pred", "score", "n_languages"],
             )
 
     return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), "text"
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.coalesce(held_out(docs["doc_id"]), F.lit(False)).alias("held_out"),
+        "text",
     ).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, n_languages int")
 
 
+def with_language(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, unchanged, whose text has a language."""
+    langs, probabilities = fit(training(docs))
+    sent = docs.sparkSession.sparkContext.broadcast((langs, probabilities))
+
+    def run(batches):
+        for batch in batches:
+            named, _, _ = _batch_mixtures(batch.column(batch.schema.get_field_index("text")), *sent.value)
+            yield batch.filter(pa.array([x != UNKNOWN for x in named], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def training(docs: DataFrame) -> DataFrame:
+    return docs.where(~F.coalesce(held_out(docs["doc_id"]), F.lit(False)))
+
+
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the labelled documents that are not held out, then predict all."""
-    return predict(docs, *fit(docs.where(~held_out(docs["doc_id"]))))
+    return predict(docs, *fit(training(docs)))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
