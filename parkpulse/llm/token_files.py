@@ -15,9 +15,9 @@ a null doc_id comes first. An empty table gives files without rows. Other column
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parkpulse.llm.shared import partitions, read_table, shared_folder
-from parkpulse.llm.wordhash import slices, text_buffers
+from parkpulse.llm.shared import partitions, read_table, shared_folder, written
+from parkpulse.llm.wordhash import NOT_SPACE, other_hashes, slices, text_buffers, words
 
 END = 1
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Distinct words remembered by a task between blocks.
 REMEMBER = 400_000
 
@@ -53,20 +53,77 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode_words(texts: list[str], tokenizer, known: dict[str, bytes]) -> list[bytes]:
-    """Ids of each text as int32 bytes; each distinct run without ASCII white space is encoded once.
+class WordEncoder:
+    """Encodes blocks of texts, each distinct run of bytes once.
 
-    For tokenizers that drop white space and whose normaliser and splitter do not look across it;
-    then the ids of a text are those of its parts in turn.
+    Runs end at ASCII white space, and between an ASCII letter or digit and one of the marks in
+    MARKS. For tokenizers that drop white space, take A-Z as a-z, split between letters or digits and
+    such marks, and whose normaliser joins nothing across these places: then the ids of a text are
+    those of its runs in turn. Runs are known by 128 bits of hash. A block with the beginning of a
+    special token is encoded text by text instead.
     """
-    parts = [_split(text) for text in texts]
-    new = list(set().union(*parts).difference(known))
-    for part, found in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[part] = np.array(found.ids, "<i4").tobytes()
-    return [b"".join(map(known.__getitem__, p)) for p in parts]
 
-
-_split = re.compile(r"[^\x20\x09-\x0D]+").findall
+    SPECIAL = b"<|"
+    MARKS = b".,!?;:%&*#$"
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.kind = np.zeros(256, np.int8)
+        self.kind[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+        self.kind[list(self.MARKS)] = 2
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _learn(self, hashes, checks, texts: list[str]) -> None:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        starts = len(self.flat) + np.cumsum(sizes) - sizes
+        hashes = np.concatenate([self.hashes, hashes])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        self.checks = np.concatenate([self.checks, checks])[order]
+        self.starts = np.concatenate([self.starts, starts])[order]
+        self.sizes = np.concatenate([self.sizes, sizes])[order]
+        self.flat = np.concatenate([self.flat, flat])
+
+    def ids(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets by document) of the documents between `at` in `raw`, each with its END."""
+        bytes_ = raw[at[0] : at[-1]]
+        data = bytes_.tobytes()
+        if self.SPECIAL in data:
+            return self._whole(raw, at)
+        kind = self.kind[bytes_]
+        cut = np.zeros(len(kind), bool)
+        cut[1:] = kind[1:] + kind[:-1] == 3
+        cut[1:] &= (kind[1:] > 0) & (kind[:-1] > 0)
+        hashes, begins, ends, of = words(raw, at, NOT_SPACE, cut)
+        checks = other_hashes(raw, at, begins, ends)
+        if len(self.hashes) > REMEMBER:
+            self._forget()
+        own, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, own)
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == own[known]
+        new = first[~known]
+        if len(new):
+            spans = zip(begins[new].tolist(), ends[new].tolist(), strict=True)
+            self._learn(hashes[new], checks[new], [data[a:z].decode() for a, z in spans])
+        place = np.searchsorted(self.hashes, own)[which]
+        if (self.checks[place] != checks).any():
+            return self._whole(raw, at)
+        sizes, starts = self.sizes[place], self.starts[place]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.arange(total[-1]) + np.repeat(starts - total[:-1], sizes)]
+        return np.insert(ids, total[of[1:]], END), total[of] + np.arange(len(of))
+
+    def _whole(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [raw[a:z].tobytes().decode() for a, z in zip(at.tolist(), at[1:].tolist(), strict=False)]
+        ids = [[*x.ids, END] for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for x in ids for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in ids])])
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, files: int | None = None) -> DataFrame:
@@ -75,29 +132,23 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, files: int | No
 
     def run(batches):
         part, total = TaskContext.get().partitionId(), 0
-        tokenizer, known = _tokenizer(tokenizer_path), {}
-        end = np.array([END], "<i4").tobytes()
+        encoder = WordEncoder(_tokenizer(tokenizer_path))
         for batch in batches:
-            _, at = text_buffers(batch.column(1))
-            texts = batch.column(1).fill_null("")
+            raw, at = text_buffers(batch.column(1))
             for first, last in slices(at, BLOCK_BYTES):
-                if len(known) > REMEMBER:
-                    known.clear()
-                ids = [x + end for x in encode_words(texts.slice(first, last - first).to_pylist(), tokenizer, known)]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                begin = total + np.concatenate([[0], np.cumsum(sizes)])
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                lists = pa.ListArray.from_arrays(pa.array((begin - total).astype(np.int32)), flat)
-                total = int(begin[-1])
+                ids, offsets = encoder.ids(raw, at[first : last + 1])
+                n = last - first
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, np.int32)), batch.column(0).slice(first, last - first),
-                     pa.array(begin[:-1]), pa.array(sizes), lists],
+                    [pa.array(np.full(n, part, np.int32)), batch.column(0).slice(first, n),
+                     pa.array(total + offsets[:-1]), pa.array(np.diff(offsets)), lists],
                     ["part", "doc_id", "begin", "n_tokens", "ids"],
                 )
+                total += int(offsets[-1])
 
     (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        .repartitionByRange(files or partitions(spark), "doc_id", "text")
+        .repartitionByRange(files or partitions(spark), "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(run, _SCHEMA)
         .write.options(**LAYOUT)
@@ -111,7 +162,8 @@ def document_starts(files: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per file.
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # Written, so that Spark knows how small it is and need not shuffle the ids to join it.
+    parts = written(parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
     return files.join(parts, "part").select("doc_id", (F.col("base") + F.col("begin")).alias("start"), "n_tokens", "ids")
 
 

@@ -17,7 +17,9 @@ _MASK = (1 << 64) - 1
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[65:91] = _BYTE[97:123]
+_BYTE_2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+for _table in (_BYTE, _BYTE_2):
+    _table[65:91] = _table[97:123]
 
 #: Bytes of `[^\x20\x09-\x0D]`.
 NOT_SPACE = np.ones(256, bool)
@@ -91,11 +93,12 @@ def slices(at: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]
 
 
 def words(
-    raw: np.ndarray, at: np.ndarray, is_word: np.ndarray
+    raw: np.ndarray, at: np.ndarray, is_word: np.ndarray, cut: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, begins, ends, word offsets by document) of the documents between `at` in `raw`.
 
-    begins and ends are byte positions relative to at[0].
+    begins and ends are byte positions relative to at[0]. `cut` marks bytes at which a word begins
+    even if there is one before.
     """
     lo, hi = int(at[0]), int(at[-1])
     data, n = raw[lo:hi], hi - lo
@@ -112,6 +115,9 @@ def words(
     edges = at - lo
     before[edges[edges < n]] = False
     after[edges[edges > 0] - 1] = False
+    if cut is not None:
+        before[cut] = False
+        after[:-1][cut[1:]] = False
     begins = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     up, down = _power_tables(n)
@@ -121,6 +127,17 @@ def words(
     return hashes, begins, ends, np.searchsorted(begins, edges)
 
 
+def other_hashes(raw: np.ndarray, at: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A second hash of the words found by `words`, independent of the first."""
+    data = raw[at[0] : at[-1]]
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    up, down = _power_tables(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_2[data] * up[: len(data)], out=total[1:])
+    return mix((total[ends] - total[begins]) * down[begins])
+
+
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive words (len - k + 1 of them)."""
     n = len(hashes) - k + 1
