@@ -19,7 +19,7 @@ def report_key(by: str) -> Column:
     if by not in REPORT_KEYS:
         raise ValueError(f"by must be one of {REPORT_KEYS}")
     key = F.col("sensor") if by == "sensor" else site_of(F.col("sensor"))
-    return F.replace(key, F.lit("졸음쉼터"), F.lit(""))
+    return F.replace(key, F.lit(V.REST_AREA), F.lit(""))
 
 
 def _has(code: int) -> Column:

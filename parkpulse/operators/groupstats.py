@@ -1,52 +1,60 @@
 """Group comparisons: one-way analysis of variance, its two-response form, pairwise ranges.
 
-The data is read once, into counts, sums and sums of products per group (exact decimals);
-everything after that works on one row per group.
+The data is read once, into a count, means and centred products per group; everything after that
+works on one row per group. Sums of whole numbers and decimals are exact, so their means are; products
+are centred from the start, and groups are compared around the grand mean. So a shift of all values,
+or a change of their unit, changes no test.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType
 
 from parkpulse.functions.distributions import f_p_value, range_critical_value, range_p_value
 
-GROUP_LIMIT = 1_000
-EXACT = "decimal(38,0)"
+# Groups that one task compares with all others.
+PAIR_BLOCK = 256
+
+
+def _mean(df: DataFrame, response: str) -> Column:
+    kind = df.schema[response].dataType
+    if isinstance(kind, (IntegralType, DecimalType)):
+        scale = kind.scale if isinstance(kind, DecimalType) else 0
+        total = F.sum(F.col(response).cast(f"decimal(38,{scale})"))
+        return total.cast("double") / F.count(F.lit(1))
+    return F.avg(F.col(response).cast("double"))
 
 
 def _moments(df: DataFrame, group: str, responses: tuple[str, ...]) -> DataFrame:
-    """Per group: n, s_i = sum(y_i) and c_i_j = sum(y_i * y_j), for whole-number responses."""
+    """Per group: name, n, means m_i and products w_i_j = sum((y_i - m_i) * (y_j - m_j))."""
     kept = df.na.drop("any", subset=[group, *responses])
-    exact = {r: F.col(r).cast("decimal(18,0)") for r in responses}
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, r in enumerate(responses):
-        aggs.append(F.sum(exact[r]).alias(f"s_{i}"))
+        aggs.append(_mean(df, r).alias(f"m_{i}"))
         for j, other in enumerate(responses[i:], i):
-            product = (exact[r] * exact[other]).cast(EXACT)
-            aggs.append(F.sum(product).alias(f"c_{i}_{j}"))
-    return kept.groupBy(group).agg(*aggs)
+            product = F.covar_pop(F.col(r).cast("double"), F.col(other).cast("double"))
+            aggs.append((product * F.count(F.lit(1))).alias(f"w_{i}_{j}"))
+    rows = kept.groupBy(F.col(group).alias("name")).agg(*aggs)
+    # A generator keeps all columns, so that a scalar read from these rows shares their shuffle.
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def _scatter(moments: DataFrame, responses: int) -> DataFrame:
-    """One row: groups k, rows n, total t_i_j and between-group h_i_j scatter."""
-    d = {c: F.col(c).cast("double") for c in moments.columns[1:]}
+    """One row: groups k, rows n, within-group w_i_j and between-group h_i_j scatter."""
+    grand = moments.agg(
+        F.struct(
+            *[(F.sum(F.col("n") * F.col(f"m_{i}")) / F.sum("n")).alias(f"g_{i}") for i in range(responses)]
+        ).alias("grand")
+    ).scalar()
+    off = [F.col(f"m_{i}") - F.col("grand")[f"g_{i}"] for i in range(responses)]
     aggs = [F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")]
-    for i in range(responses):
-        aggs.append(F.sum(f"s_{i}").cast("double").alias(f"s_{i}"))
-        for j in range(i, responses):
-            aggs.append(F.sum(f"c_{i}_{j}").cast("double").alias(f"c_{i}_{j}"))
-            aggs.append(F.sum(d[f"s_{i}"] * d[f"s_{j}"] / d["n"]).alias(f"m_{i}_{j}"))
-    row = moments.agg(*aggs)
-    scatter = []
     for i in range(responses):
         for j in range(i, responses):
-            overall = F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n")
-            scatter.append((F.col(f"c_{i}_{j}") - overall).alias(f"t_{i}_{j}"))
-            scatter.append((F.col(f"m_{i}_{j}") - overall).alias(f"h_{i}_{j}"))
-    return row.select("k", "n", *scatter)
+            aggs.append(F.sum(f"w_{i}_{j}").alias(f"w_{i}_{j}"))
+            aggs.append(F.sum(F.col("n") * off[i] * off[j]).alias(f"h_{i}_{j}"))
+    return moments.withColumn("grand", grand).agg(*aggs)
 
 
 def anova(df: DataFrame, group: str, responses: tuple[str, ...]) -> DataFrame:
@@ -58,7 +66,7 @@ def anova(df: DataFrame, group: str, responses: tuple[str, ...]) -> DataFrame:
                 F.struct(
                     F.lit(r).alias("response"),
                     F.col(f"h_{i}_{i}").alias("between"),
-                    (F.col(f"t_{i}_{i}") - F.col(f"h_{i}_{i}")).alias("within"),
+                    F.col(f"w_{i}_{i}").alias("within"),
                 )
                 for i, r in enumerate(responses)
             ]
@@ -80,6 +88,7 @@ def anova(df: DataFrame, group: str, responses: tuple[str, ...]) -> DataFrame:
 def manova(df: DataFrame, group: str, responses: tuple[str, str]) -> DataFrame:
     """Two-response analysis of variance by Pillai's trace and its F approximation."""
     row = _scatter(_moments(df, group, responses), 2)
+    row = row.withColumns({f"t_{x}": F.col(f"w_{x}") + F.col(f"h_{x}") for x in ("0_0", "0_1", "1_1")})
     determinant = F.col("t_0_0") * F.col("t_1_1") - F.col("t_0_1") * F.col("t_0_1")
     trace = (
         F.col("h_0_0") * F.col("t_1_1")
@@ -103,34 +112,27 @@ def manova(df: DataFrame, group: str, responses: tuple[str, str]) -> DataFrame:
 def tukey(df: DataFrame, group: str, response: str, level: float = 0.95) -> DataFrame:
     """Honest significant differences for each pair of groups.
 
-    The group rows (one per group, at most GROUP_LIMIT) form one array, which is paired with
-    itself; no join is needed.
+    Every pair is a row of the result. Groups are dealt into blocks of about PAIR_BLOCK; each block
+    meets all groups in a join on its number, so pairs are made and tested by as many tasks.
     """
     moments = _moments(df, group, (response,))
-    mean = F.col("s_0").cast("double") / F.col("n")
-    member = F.struct(F.col(group).alias("name"), F.col("n").alias("n"), mean.alias("mean"))
-    row = moments.agg(
-        F.sort_array(F.collect_list(member)).alias("members"),
-        F.sum(
-            F.col("c_0_0").cast("double") - F.col("s_0").cast("double") * mean
-        ).alias("within"),
-        F.sum("n").alias("total"),
-    ).withColumn(
-        "members",
-        F.when(F.size("members") <= GROUP_LIMIT, F.col("members")).otherwise(
-            F.raise_error(F.lit(f"more than {GROUP_LIMIT} groups to compare"))
-        ),
-    )
-    k = F.size("members").cast("bigint")
-    df_within = (F.col("total") - k).cast("double")
+    k, n = F.count(F.lit(1)), F.sum("n")
+    freedom = (n - k).cast("double")
+    totals = moments.agg(
+        F.struct(
+            k.alias("k"), freedom.alias("df_within"), (F.sum("w_0_0") / freedom).alias("mse"),
+            F.ceil(k / PAIR_BLOCK).cast("int").alias("blocks"),
+        ).alias("all")
+    ).scalar()
+    rows = moments.withColumn("all", totals)
+    every = F.explode(F.sequence(F.lit(0), F.col("all.blocks") - 1)).alias("block")
+    own = F.pmod(F.xxhash64("name"), F.col("all.blocks")).cast("int").alias("block")
+    member = F.struct("name", "n", F.col("m_0").alias("mean"))
     pairs = (
-        row.select(
-            k.alias("k"), df_within.alias("df_within"),
-            (F.col("within") / df_within).alias("mse"),
-            "members", F.explode("members").alias("a"),
-        )
-        .withColumn("b", F.explode("members"))
+        rows.select(every, member.alias("a"), "all")
+        .join(rows.select(own, member.alias("b")), "block")
         .where(F.col("a.name") < F.col("b.name"))
+        .select("a", "b", "all.k", "all.df_within", "all.mse")
     )
     diff = F.col("b.mean") - F.col("a.mean")
     error = F.sqrt(F.col("mse") / 2 * (1 / F.col("a.n") + 1 / F.col("b.n")))

@@ -27,8 +27,6 @@ from parkpulse.functions.timeparts import (
 )
 from parkpulse.operators.parse import site_of
 
-WIDE_COLUMN_LIMIT = 10_000
-
 
 def stay_hours(stays: DataFrame) -> DataFrame:
     """One row per clock hour a stay touches, with the seconds of the stay inside it.
@@ -80,6 +78,13 @@ def cells_in_days(stays: DataFrame, first: str, last: str) -> DataFrame:
 BUCKETS = {"hour": (F.hour, 24), "weekday": (F.weekday, 7)}
 
 
+def _hours_of(observed: DataFrame) -> Column:
+    """Number of distinct hours in the row's bucket."""
+    counts = observed.where("hour IS NOT NULL").groupBy("bucket").agg(F.count_distinct("hour").alias("n"))
+    by_bucket = counts.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n")))).scalar()
+    return F.coalesce(F.try_element_at(by_bucket, F.col("bucket")), F.lit(0))
+
+
 def observed_mean(
     cells: DataFrame,
     part: str,
@@ -93,7 +98,8 @@ def observed_mean(
     The sensors counted are those with any cell, the hours those observed inside `days`. One
     pass over the cells: grouping sets carry the sums per (group, bucket), the sensors of each
     group - once for every bucket - and the hours observed at all. The second aggregate is
-    small, groups times buckets, and a window over it puts the hours beside the sums.
+    small, groups times buckets, and a window over it puts the hours beside the sums. Per sensor it
+    is not small; there the hours of each bucket are one map of at most 24 entries, read as a scalar.
     """
     bucket_of, size = BUCKETS[part]
     cells = cells.withColumn("unit", F.col(group) if group else F.lit("all"))
@@ -124,7 +130,10 @@ def observed_mean(
             F.count_if(observed).alias("hours"),
         )
     )
-    hours = F.max("hours").over(Window.partitionBy("bucket"))
+    if group == "sensor":
+        hours = _hours_of(cells.select(bucket_of("hour").alias("bucket"), "hour"))
+    else:
+        hours = F.max("hours").over(Window.partitionBy("bucket"))
     placed = small.withColumn("hours", hours).where(
         F.col("unit").isNotNull() & F.col("bucket").isNotNull() & (F.col("hours") > 0)
     )
@@ -264,23 +273,15 @@ def column_summary(sensors: DataFrame, stays: DataFrame) -> DataFrame:
     )
 
 
-def to_wide(cells: DataFrame, sensors: Sequence[str] | None = None) -> DataFrame:
-    """hour plus one percent column per sensor, 0 where free; rows are the observed hours.
+def to_wide(cells: DataFrame, sensors: Sequence[str]) -> DataFrame:
+    """hour plus one percent column per named sensor, 0 where free.
 
-    For export. The columns are all sensors unless given; more of them than Spark's own limit on
-    pivot columns is refused, since such a table belongs in long form.
+    For export. The columns are exactly the sensors named; the long form is the complete result. The
+    rows are the hours observed for any sensor.
     """
-    if sensors is None:
-        names = cells.select("sensor").distinct().limit(WIDE_COLUMN_LIMIT + 1).collect()
-        sensors = sorted(r.sensor for r in names)
-    if len(sensors) > WIDE_COLUMN_LIMIT:
-        raise ValueError(f"more than {WIDE_COLUMN_LIMIT} sensors; use the long form")
-    return (
-        cells.groupBy("hour")
-        .pivot("sensor", list(sensors))
-        .agg(F.first(F.col("pct100") / F.lit(100.0)))
-        .na.fill(0.0)
-    )
+    percent = F.col("pct100") / F.lit(100.0)
+    columns = [F.coalesce(F.max(F.when(F.col("sensor") == s, percent)), F.lit(0.0)).alias(s) for s in sensors]
+    return cells.groupBy("hour").agg(*columns)
 
 
 def from_wide(wide: DataFrame, key: str, name: str, value: str) -> DataFrame:

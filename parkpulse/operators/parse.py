@@ -43,7 +43,8 @@ def with_names(raw: DataFrame, style: str) -> DataFrame:
 
 
 def site_of(sensor: Column) -> Column:
-    return F.substring(sensor, 1, 2)
+    """What stands before the rest-area word, or before the number in a cleaned name."""
+    return F.get(F.split(sensor, f"{V.REST_AREA}|#", 2), F.lit(0))
 
 
 def _split_once(named: DataFrame, limit: int) -> DataFrame:

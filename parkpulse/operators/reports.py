@@ -1,7 +1,7 @@
 """Usage and dwell reports over stays: counts, means, top lists, peaks and reference values.
 
 Reports by hour, weekday or month have at most 24 rows; the windows without keys below run on
-such results only, never on messages or stays.
+such results only, never on messages or stays. What is compared across sites is a scalar.
 """
 
 from __future__ import annotations
@@ -68,21 +68,52 @@ def with_reference_count(usage: DataFrame) -> DataFrame:
     return usage.withColumn("reference", mean)
 
 
-def with_reference_value(report: DataFrame, value: str, digits: int = 1) -> DataFrame:
-    """Add the mean of a column whose values have `digits` decimals, with as many decimals."""
+def with_reference_value(
+    report: DataFrame, value: str, digits: int = 1, to: int | None = None
+) -> DataFrame:
+    """Add the mean of a column whose values have `digits` decimals, with `to` decimals (as many)."""
     w = _all_rows()
     units = F.round(F.col(value) * 10**digits).cast("bigint")
-    mean = rounded_units(F.sum(units).over(w), F.count(F.lit(1)).over(w))
-    return report.withColumn("reference", mean.cast("double") / F.lit(float(10**digits)))
+    to = digits if to is None else to
+    mean = rounded_ratio(F.sum(units).over(w), F.count(F.lit(1)).over(w) * 10**digits, to)
+    return report.withColumn("reference", mean)
+
+
+def mean_value(report: DataFrame, value: str, digits: int = 1) -> Column:
+    """Mean of a column whose values have `digits` decimals, with as many, as one scalar."""
+    units = F.round(F.col(value) * 10**digits).cast("bigint")
+    mean = rounded_ratio(F.sum(units), F.count(F.lit(1)) * 10**digits, digits)
+    return report.agg(mean.alias("mean")).scalar()
+
+
+def with_mean_share(by_site: DataFrame, digits: int = 1) -> DataFrame:
+    """Add the mean of the site means. It is one scalar: no row is moved for it."""
+    mean = by_site.agg(F.round(F.avg("occupancy_pct"), digits).alias("mean")).scalar()
+    return by_site.withColumn("reference", mean)
+
+
+def with_all_sites_count(usage: DataFrame, bucket: str) -> DataFrame:
+    """Add to counts by site the mean count of a bucket over all sites together."""
+    mean = rounded_ratio(F.sum("usage_count"), F.count_distinct(bucket))
+    return usage.withColumn("reference", usage.agg(mean.alias("mean")).scalar())
+
+
+def dwell_by_site_hour(stays: DataFrame) -> DataFrame:
+    """Mean dwell by site and hour, and the mean of the hourly means of all sites together."""
+    sums = stays.groupBy("site", F.hour("in_ts").alias("hour")).agg(
+        F.sum("dwell_sec").alias("total"), F.count(F.lit(1)).alias("n")
+    )
+    mean = rounded_ratio(F.col("total"), F.col("n") * 60, 1).alias("dwell_min")
+    hourly = sums.groupBy("hour").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    reference = mean_value(hourly.select(mean), "dwell_min")
+    return sums.select("site", "hour", mean).withColumn("reference", reference)
 
 
 def with_site_reference(usage: DataFrame, bucket: str) -> DataFrame:
     """Add the mean count per bucket over all sites, rounded, divided by the number of sites."""
-    w = _all_rows()
-    buckets = F.size(F.collect_set(bucket).over(w)).cast("bigint")
-    sites = F.size(F.collect_set("site").over(w)).cast("bigint")
-    mean = rounded_units(F.sum("usage_count").over(w), buckets)
-    return usage.withColumn("reference", rounded_ratio(mean, sites, 1))
+    mean = rounded_units(F.sum("usage_count"), F.count_distinct(bucket))
+    reference = usage.agg(rounded_ratio(mean, F.count_distinct("site"), 1).alias("mean")).scalar()
+    return usage.withColumn("reference", reference)
 
 
 def stay_summary(stays: DataFrame) -> DataFrame:

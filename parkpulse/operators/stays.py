@@ -46,11 +46,11 @@ def enrich_stays(
 
     Needs full sensor names.
     """
-    name = F.split("sensor", "졸음쉼터_#", 2)
+    name = F.split("sensor", f"{V.REST_AREA}_#", 2)
     weekday = F.weekday("in_ts")
     return stays.select(
         "sensor",
-        F.get(name, F.lit(0)).alias("site"),
+        site_of(F.col("sensor")).alias("site"),
         F.get(name, F.lit(1)).try_cast("int").alias("detector_no"),
         weekday.alias("weekday"),
         weekday_name(weekday).alias("weekday_name"),

@@ -19,48 +19,40 @@ from parkpulse.operators.neighbours import (
     hot_sensors,
     slice_hot_sensors,
 )
-from parkpulse.operators.parse import site_of
 from parkpulse.operators.stays import enrich_stays, pair_stays
 from parkpulse.plans.pipeline import guarded_messages
 from parkpulse.sources.sinks import write_table
 
-SITE_LIMIT = 1_000
-
 
 def _sliced(messages: DataFrame, row_limit: int) -> DataFrame:
     hot = hot_sensors(messages, row_limit)
     return messages if hot is None else slice_hot_sensors(messages, hot, row_limit)
 
 
-def _sites(coded: DataFrame) -> list[str]:
-    """Site names, which become columns; refused when they cannot be columns."""
-    found = coded.select(site_of(F.col("sensor")).alias("site")).distinct()
-    sites = [r.site for r in found.limit(SITE_LIMIT + 1).collect()]
-    if len(sites) > SITE_LIMIT:
-        raise ValueError(f"more than {SITE_LIMIT} sites; use the long error rates")
-    return sorted(sites)
-
-
 def run_batch(
     raw: DataFrame,
     out: str,
     selected: Sequence[str] = (),
+    sites: Sequence[str] = (),
+    mode: str = "error",
     holidays: Sequence[str] = V.HOLIDAYS,
     row_limit: int = SENSOR_ROW_LIMIT,
 ) -> None:
     """Write messages, codes, stays, occupancy and all reports below `out`.
 
     Large tables are Parquet, reports CSV. Reading a written table back cuts the lineage, so a
-    lost executor never reaches back to the raw files.
+    lost executor never reaches back to the raw files. Error rates and occupancy are complete in
+    long form; wide tables are added for the sensors in `selected` and the sites in `sites`. Tables
+    already there are only replaced with mode "overwrite".
     """
     spark = raw.sparkSession
 
     def keep(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        write_table(df.drop(SLICE), f"{out}/{name}", by=by)
+        write_table(df.drop(SLICE), f"{out}/{name}", by=by, mode=mode)
         return spark.read.parquet(f"{out}/{name}")
 
     def report(df: DataFrame, name: str) -> None:
-        write_table(df, f"{out}/{name}", fmt="csv")
+        write_table(df, f"{out}/{name}", fmt="csv", mode=mode)
 
     messages = keep(guarded_messages(raw, "full", row_limit), "messages")
     coded = keep(
@@ -71,7 +63,11 @@ def run_batch(
     )
     report(E.error_summary(coded, post_report=True), "error_summary")
     report(E.sequence_errors_daily(coded), "sequence_errors_daily")
-    report(E.error_rate_wide(coded, _sites(coded), selected), "error_rates_monthly")
+    report(E.sequence_error_rate(coded), "error_rates_monthly")
+    if selected:
+        report(E.selected_error_rate(coded, selected), "error_rates_selected")
+    if sites or selected:
+        report(E.error_rate_wide(coded, sites, selected), "error_rates_wide")
 
     normal = coded.where(F.col("status_code") == V.OK)
     stays = enrich_stays(pair_stays(_sliced(normal, row_limit)), holidays)
@@ -79,7 +75,10 @@ def run_batch(
     report(R.stay_summary(stays), "stay_summary")
 
     sensors = R.sensor_list(messages)
-    keep(O.hourly_occupancy(stays).withColumn("date", F.to_date("hour")), "occupancy", by="date")
+    cells = O.hourly_occupancy(stays).withColumn("date", F.to_date("hour"))
+    cells = keep(cells, "occupancy", by="date")
+    if selected:
+        report(O.to_wide(cells, selected), "occupancy_wide")
     report(O.transposed_profile(O.hour_profile(sensors, stays)), "occupancy_profile")
     report(O.column_summary(sensors, stays), "occupancy_summary")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parkpulse.functions.timeparts import in_days, weekday_name
+from parkpulse.functions.timeparts import calendar_bucket, in_days, weekday_name
 from parkpulse.operators import errors as E
 from parkpulse.operators import groupstats as G
 from parkpulse.operators import occupancy as O
@@ -23,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 DAYS = ("2022-01-24", "2022-02-06")
 SITES = ("대신", "옥천", "영천")
 SELECTED = ("대신졸음쉼터_#00003", "옥천졸음쉼터_#00013", "영천졸음쉼터_#00011")
+SELECTED_SHORT = tuple(s.replace("졸음쉼터_", "") for s in SELECTED)
 MESSAGE = ("sensor", "detector", "action", "ts", "status_code")
 
 
@@ -72,6 +73,21 @@ def _sparse(raw: DataFrame, period: str) -> DataFrame:
     return O.sparse_mean(P.precedence_cells(raw), {"site": F.col("site"), period: key})
 
 
+def _with_mean(report: DataFrame) -> DataFrame:
+    return report.withColumn("reference", R.mean_value(report, "occupancy_pct"))
+
+
+def _over_sites(by_site: DataFrame, period: str) -> DataFrame:
+    """Means over the sites per period, beside the mean of all site means."""
+    mean = by_site.agg(F.round(F.avg("occupancy_pct"), 1).alias("mean")).scalar()
+    return O.mean_over_sites(by_site, [period]).withColumn("reference", mean)
+
+
+def _rebinned(raw: DataFrame, width: str) -> DataFrame:
+    period = calendar_bucket(F.col("hour"), width)
+    return O.sparse_mean(P.precedence_cells(raw), {"site": F.col("site"), "period": period})
+
+
 def _stay_table(stays: DataFrame) -> DataFrame:
     return stays.select("sensor", "in_ts", "out_ts", "dwell_sec")
 
@@ -82,6 +98,14 @@ def _responses(raw: DataFrame) -> DataFrame:
     )
 
 
+def _fractional_responses(raw: DataFrame) -> DataFrame:
+    """Dwell and time of arrival in hours, with fractions."""
+    arrival = F.hour("in_ts") + F.minute("in_ts") / F.lit(60.0)
+    return P.guarded_stays(raw).select(
+        "site", (F.col("dwell_sec") / F.lit(3600.0)).alias("dwell_hours"), arrival.alias("arrival_hours")
+    )
+
+
 def _rounded(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
@@ -108,10 +132,10 @@ def _labels(raw: DataFrame) -> DataFrame:
     )
 
 
-def _code_counts_by(raw: DataFrame, prefix: int, name: str, distinct: bool) -> DataFrame:
+def _code_counts_by(raw: DataFrame, by: str, distinct: bool = False) -> DataFrame:
     coded = P.precedence(raw)
     coded = E.distinct_coded(coded) if distinct else coded
-    return E.code_counts(coded, F.substring("sensor", 1, prefix).alias(name)).orderBy(name)
+    return E.code_counts(coded, E.report_key(by).alias(by)).orderBy(by)
 
 
 def _messages(raw: DataFrame) -> DataFrame:
@@ -139,9 +163,9 @@ def catalog() -> dict[str, Query]:
         "error_summary_batch": _raw(lambda raw: E.error_summary(_batch(raw), post_report=True)),
         "error_summary_sensor": _raw(lambda raw: E.error_summary(P.guarded(raw), "sensor")),
         "error_summary_site": _raw(lambda raw: E.error_summary(P.guarded(raw), "site")),
-        "error_summary_v2_site": _raw(lambda raw: _code_counts_by(raw, 2, "site", False)),
-        "error_summary_v2_sensor": _raw(lambda raw: _code_counts_by(raw, 10, "sensor", False)),
-        "error_summary_v2_distinct": _raw(lambda raw: _code_counts_by(raw, 2, "site", True)),
+        "error_summary_v2_site": _raw(lambda raw: _code_counts_by(raw, "site")),
+        "error_summary_v2_sensor": _raw(lambda raw: _code_counts_by(raw, "sensor")),
+        "error_summary_v2_distinct": _raw(lambda raw: _code_counts_by(raw, "site", distinct=True)),
         "error_by_sensor_ts": _raw(lambda raw: E.code_counts(P.precedence(raw), "sensor", "ts")),
         "error_by_sensor_ts_in_range": _raw(
             lambda raw: E.code_counts(P.precedence(raw), "sensor", "ts").where(
@@ -175,7 +199,9 @@ def catalog() -> dict[str, Query]:
             lambda raw: R.with_reference_count(R.usage_by_grain(P.guarded_stays(raw), "hour"))
         ),
         "usage_by_site_hour": _raw(
-            lambda raw: R.usage_by(P.guarded_stays(raw), site=F.col("site"), hour=_in("hour"))
+            lambda raw: R.with_all_sites_count(
+                R.usage_by(P.guarded_stays(raw), site=F.col("site"), hour=_in("hour")), "hour"
+            )
         ),
         "usage_by_weekday": _raw(
             lambda raw: _named(
@@ -205,14 +231,12 @@ def catalog() -> dict[str, Query]:
             )
         ),
         "dwell_by_site_hour": _raw(
-            lambda raw: R.dwell_by(
-                P.guarded_stays(raw), 1, site=F.col("site"), hour=_in("hour")
-            )
+            lambda raw: R.dwell_by_site_hour(P.guarded_stays(raw))
         ),
         "dwell_by_weekday": _raw(
             lambda raw: _named(
                 R.with_reference_value(
-                    R.dwell_by(P.guarded_stays(raw), 2, weekday=_in("weekday")), "dwell_min", 2
+                    R.dwell_by(P.guarded_stays(raw), 2, weekday=_in("weekday")), "dwell_min", 2, to=1
                 )
             )
         ),
@@ -236,7 +260,7 @@ def catalog() -> dict[str, Query]:
         "occupancy_grid_dense": _raw(
             lambda raw: O.dense_grid(_sensors(raw), _batch_stays(raw))
         ),
-        "occupancy_wide": _raw(lambda raw: O.to_wide(P.guarded_cells(raw))),
+        "occupancy_wide": _raw(lambda raw: O.to_wide(P.guarded_cells(raw), SELECTED_SHORT)),
         "occupancy_unpivot": _raw(
             lambda raw: O.from_wide(_profile(raw), "sensor", "hour_column", "fraction")
         ),
@@ -244,7 +268,11 @@ def catalog() -> dict[str, Query]:
             lambda raw: R.with_reference_value(_observed(raw, "hour"), "occupancy_pct")
         ),
         "occupancy_by_hour_in_range": _raw(lambda raw: _observed(raw, "hour", days=DAYS)),
-        "occupancy_by_site_hour": _raw(lambda raw: _observed(raw, "hour", "site")),
+        "occupancy_by_site_hour": _raw(
+            lambda raw: _observed(raw, "hour", "site").withColumn(
+                "reference", R.mean_value(_observed(raw, "hour"), "occupancy_pct")
+            )
+        ),
         "occupancy_heatmap": _raw(
             lambda raw: _observed(raw, "hour", "sensor").select(
                 site_of(F.col("sensor")).alias("site"), "sensor", "hour", "occupancy_pct"
@@ -260,7 +288,7 @@ def catalog() -> dict[str, Query]:
             )
         ),
         "occupancy_by_site_weekday": _raw(
-            lambda raw: _named(_observed(raw, "weekday", "site"))
+            lambda raw: _named(_with_mean(_observed(raw, "weekday", "site")))
         ),
         "top_sensors_occupancy": _raw(
             lambda raw: R.top_sensors_by_occupancy(P.guarded_cells(raw))
@@ -275,6 +303,15 @@ def catalog() -> dict[str, Query]:
                 f_value=6, p_value=6,
             )
         ),
+        "anova_dwell_hours_by_site": _raw(
+            lambda raw: _rounded(
+                _nine_digits(
+                    G.anova(_fractional_responses(raw), "site", ("dwell_hours", "arrival_hours")),
+                    "ss_between", "ss_within",
+                ),
+                f_value=6, p_value=6,
+            )
+        ),
         "manova_dwell": _raw(
             lambda raw: _rounded(
                 G.manova(_responses(raw), "site", ("dwell_sec", "arrival_hour")),
@@ -283,21 +320,23 @@ def catalog() -> dict[str, Query]:
         ),
         "tukey_dwell": _raw(
             lambda raw: _rounded(
-                G.tukey(_responses(raw), "site", "dwell_sec").drop("lower", "upper"),
-                diff=3, std_error=3, q_value=6, p_adjusted=4,
+                G.tukey(_responses(raw), "site", "dwell_sec"),
+                diff=3, lower=1, upper=1, std_error=3, q_value=6, p_adjusted=4,
             )
         ),
     }
     for period in ("date", "weekday", "month"):
-        q[f"occupancy_site_{period}"] = _raw(lambda raw, p=period: _sparse(raw, p))
-        q[f"occupancy_{period}_all"] = _raw(
-            lambda raw, p=period: O.mean_over_sites(_sparse(raw, p), [p])
-        )
+        q[f"occupancy_site_{period}"] = _raw(lambda raw, p=period: R.with_mean_share(_sparse(raw, p)))
+        q[f"occupancy_{period}_all"] = _raw(lambda raw, p=period: _over_sites(_sparse(raw, p), p))
     for name in ("date", "hour", "weekday", "month"):
         q[f"usage_by_grain_{name}"] = _raw(
             lambda raw, g=name: R.usage_by_grain(P.precedence_stays(raw), g)
         )
     for width in ("day", "month", "half", "year"):
+        q[f"occupancy_rebinned_{width}"] = _raw(lambda raw, w=width: _rebinned(raw, w))
+        q[f"occupancy_rebinned_{width}_all"] = _raw(
+            lambda raw, w=width: O.mean_over_sites(_rebinned(raw, w), ["period"])
+        )
         q[f"usage_rebinned_{width}"] = _raw(
             lambda raw, w=width: R.usage_rebinned(P.precedence_stays(raw), w)
         )

@@ -3,13 +3,13 @@ empty cells really built. Used to check results, never to compute them."""
 
 from __future__ import annotations
 
-from parkpulse.plans.catalog import DAYS, SELECTED, SITES
+from parkpulse.plans.catalog import DAYS, SELECTED, SELECTED_SHORT, SITES
 
 RAW = """
 raw AS (
   SELECT event_id AS row_id,
     '주차센서_' || ['대신','옥천','영천'][user_id % 3 + 1] || '졸음쉼터_#'
-      || lpad(user_id::VARCHAR, 5, '0') AS sensor,
+      || repeat('0', greatest(0, 5 - length(user_id::VARCHAR))) || user_id::VARCHAR AS sensor,
     '장치구분: 주차검지센서, 검지기: ' || detector || ', 배터리: 3.6, 장애: '
       || CASE WHEN k % 25 = 0 THEN '51.0' ELSE '0.0' END
       || ', RSSI: -' || (60 + k)::VARCHAR || ', SNR: ' || (k % 12)::VARCHAR
@@ -29,6 +29,9 @@ raw AS (
   )
 )"""
 
+SITE = "regexp_extract({}, '^(.*?)(졸음쉼터|#|$)', 1)"
+SENSOR_SITE = SITE.format("sensor")
+
 NAMES = {
     "full": "regexp_replace(sensor, '^주차센서_', '')",
     "short": "regexp_replace(regexp_replace(sensor, '^주차센서_', ''), '졸음쉼터.', '')",
@@ -117,9 +120,9 @@ coded AS (
   FROM placed
 )"""
 
-STAYS = """,
+STAYS = f""",
 stays AS (
-  SELECT sensor, substr(sensor, 1, 2) AS site, ts AS in_ts, out_ts, next_d,
+  SELECT sensor, {SENSOR_SITE} AS site, ts AS in_ts, out_ts, next_d,
     date_diff('second', ts, out_ts) AS dwell_sec
   FROM (
     SELECT *, lead(ts) OVER w AS out_ts, lead(detector) OVER w AS next_d
@@ -128,9 +131,9 @@ stays AS (
   ) WHERE detector IN ('차량주차', '주차') AND out_ts IS NOT NULL
 )"""
 
-CELLS = """,
+CELLS = f""",
 cells AS (
-  SELECT sensor, substr(sensor, 1, 2) AS site, hour, sum(sec)::BIGINT AS occupied_sec,
+  SELECT sensor, {SENSOR_SITE} AS site, hour, sum(sec)::BIGINT AS occupied_sec,
     ((sum(sec) * 20000 + 3600) // 7200)::BIGINT AS pct100
   FROM (
     SELECT sensor, hour,
@@ -264,10 +267,11 @@ def _dwell(digits: int, *parts: str) -> str:
   SELECT {keys}, {mean} AS dwell_min FROM stays GROUP BY ALL)"""
 
 
-def _mean_of(table: str, value: str, digits: int) -> str:
-    """Mean of a column that has `digits` decimals, with as many decimals."""
+def _mean_of(table: str, value: str, digits: int, to: int | None = None) -> str:
+    """Mean of a column that has `digits` decimals, with `to` decimals (as many)."""
     scaled = f"(SELECT sum(round({value} * {10**digits})::BIGINT) FROM {table})"
-    return f"({_units(scaled, f'(SELECT count(*) FROM {table})')}::DOUBLE / {10**digits}::DOUBLE)"
+    count = f"(SELECT count(*) * {10**digits} FROM {table})"
+    return _half_up(scaled, count, digits if to is None else to)
 
 
 def _observed(part: str, group: str = "'all'", days: str | None = None) -> str:
@@ -293,6 +297,11 @@ def _sparse(period: str) -> str:
 RESPONSES = f"""{V1_STAYS}, y AS (
   SELECT site, dwell_sec, hour(in_ts)::BIGINT AS arrival_hour FROM stays)"""
 
+FRACTIONAL = f"""{V1_STAYS}, y AS (
+  SELECT site, dwell_sec / 3600.0::DOUBLE AS dwell_hours,
+    hour(in_ts) + minute(in_ts) / 60.0::DOUBLE AS arrival_hours
+  FROM stays)"""
+
 ANOVA = f"""{RESPONSES}, long AS (
   SELECT 'dwell_sec' AS response, site, dwell_sec::DOUBLE AS v FROM y
   UNION ALL SELECT 'arrival_hour', site, arrival_hour::DOUBLE FROM y),
@@ -363,10 +372,24 @@ inside AS (
   FROM q JOIN scale USING (comparison) CROSS JOIN z GROUP BY ALL),
 p AS (
   SELECT comparison, 1 - sum(f * w) / sum(f) AS p
-  FROM scale JOIN inside USING (comparison, s) GROUP BY comparison)
-SELECT comparison, round(diff, 3) AS diff, round(se, 3) AS std_error, round(q, 6) AS q_value,
+  FROM scale JOIN inside USING (comparison, s) GROUP BY comparison),
+-- The critical value: eight probabilities around it, inverted by interpolation.
+trial AS (SELECT i, 3.0::DOUBLE + i * 0.1::DOUBLE AS tq FROM range(8) r(i)),
+one AS (SELECT min(comparison) AS comparison FROM q),
+below AS (
+  SELECT t.i, t.tq, sum(scale.f * 3 * 0.01 * exp(-z.z * z.z / 2) / sqrt(2 * pi())
+      * pow({_phi("z.z")} - {_phi("z.z - t.tq * scale.s")}, 2)) / any_value(total.f) AS p
+  FROM trial t CROSS JOIN (SELECT * FROM scale JOIN one USING (comparison) WHERE f > 1e-18) scale
+  CROSS JOIN z CROSS JOIN (SELECT sum(f) AS f FROM scale JOIN one USING (comparison)) total
+  GROUP BY ALL),
+critical AS (
+  SELECT sum(tq * share) AS crit FROM (
+    SELECT a.tq, product((0.95::DOUBLE - b.p) / (a.p - b.p)) AS share
+    FROM below a JOIN below b ON a.i <> b.i GROUP BY a.i, a.tq))
+SELECT comparison, round(diff, 3) AS diff, round(diff - crit * se, 1) AS lower,
+  round(diff + crit * se, 1) AS upper, round(se, 3) AS std_error, round(q, 6) AS q_value,
   round(p, 4) AS p_adjusted
-FROM q JOIN p USING (comparison)"""
+FROM q JOIN p USING (comparison) CROSS JOIN critical"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -387,7 +410,7 @@ def oracle_sql() -> dict[str, str]:
         "status_v1": f"{V1} {v1_status}",
         "status_v1_post_report": f"{BATCH} {v1_status}",
         "status_v2": f"{V2} {v1_status}",
-        "status_labels": f"""{V1} SELECT substr(sensor, 1, 2) AS site, sensor, detector, action, ts,
+        "status_labels": f"""{V1} SELECT {SENSOR_SITE} AS site, sensor, detector, action, ts,
   CASE status_code WHEN 3 THEN '중복이벤트' WHEN 2 THEN '통신 및 기기 오류'
     WHEN 1 THEN '주기보고' ELSE '정상' END AS status FROM coded""",
         "action_counts": f"{BATCH} SELECT action, count(*) AS n FROM coded GROUP BY 1",
@@ -398,11 +421,11 @@ def oracle_sql() -> dict[str, str]:
 FROM messages""",
         "error_summary_batch": _errors(BATCH, "sensor", "sensor", post_report=True),
         "error_summary_sensor": _errors(V1, "replace(sensor, '졸음쉼터', '')", "sensor"),
-        "error_summary_site": _errors(V1, "substr(sensor, 1, 2)", "site"),
-        "error_summary_v2_site": _codes("substr(sensor, 1, 2) AS site", "ALL"),
-        "error_summary_v2_sensor": _codes("substr(sensor, 1, 10) AS sensor", "1"),
+        "error_summary_site": _errors(V1, SENSOR_SITE, "site"),
+        "error_summary_v2_site": _codes(f"{SENSOR_SITE} AS site", "ALL"),
+        "error_summary_v2_sensor": _codes("sensor", "1"),
         "error_summary_v2_distinct": _codes(
-            "substr(sensor, 1, 2) AS site", "ALL",
+            f"{SENSOR_SITE} AS site", "ALL",
             "(SELECT DISTINCT sensor, detector, ts, status_code FROM coded)",
         ),
         "error_by_sensor_ts": _codes("sensor, ts", "ALL"),
@@ -411,13 +434,13 @@ FROM messages""",
         ),
         "sequence_errors_daily": f"""{BATCH} SELECT CAST(ts AS DATE) AS date, sensor, count(*) AS n
 FROM coded WHERE status_code = 3 GROUP BY ALL""",
-        "error_rate_site_month": f"""{BATCH} SELECT substr(sensor, 1, 2) AS site,
+        "error_rate_site_month": f"""{BATCH} SELECT {SENSOR_SITE} AS site,
   month(ts)::INTEGER AS month, {_rate("TRUE")} AS error_rate FROM coded GROUP BY ALL""",
         "error_rate_selected_month": f"""{BATCH} SELECT sensor, month(ts)::INTEGER AS month,
   {_rate("TRUE")} AS error_rate FROM coded WHERE sensor IN {SELECTED} GROUP BY ALL""",
         "error_rate_site_month_wide": f"{BATCH} SELECT month(ts)::INTEGER AS month, "
         + ", ".join(
-            [f"{_rate(f'''substr(sensor, 1, 2) = '{s}' ''')} AS \"{s}\"" for s in SITES]
+            [f"{_rate(f'''{SENSOR_SITE} = '{s}' ''')} AS \"{s}\"" for s in SITES]
             + [f"{_rate(f'''sensor = '{s}' ''')} AS \"{s}\"" for s in SELECTED]
         )
         + " FROM coded GROUP BY 1",
@@ -440,7 +463,9 @@ totals AS (
   FROM stays GROUP BY 1)
 SELECT * FROM totals JOIN days USING (sensor)""",
         "usage_by_hour": f"{_usage(V1_STAYS, 'hour')} SELECT *, {usage_ref} AS reference FROM usage",
-        "usage_by_site_hour": f"{_usage(V1_STAYS, 'site', 'hour')} SELECT * FROM usage",
+        "usage_by_site_hour": f"{_usage(V1_STAYS, 'site', 'hour')} SELECT *, "
+        f"{_half_up('(SELECT sum(usage_count) FROM usage)', '(SELECT count(DISTINCT hour) FROM usage)')}"
+        " AS reference FROM usage",
         "usage_by_weekday": f"{_usage(V1_STAYS, 'weekday')} "
         f"SELECT *, {usage_ref} AS reference, {WEEKDAY_NAME} AS weekday_name FROM usage",
         "usage_by_site_weekday": f"{_usage(V1_STAYS, 'site', 'weekday')} "
@@ -454,9 +479,11 @@ SELECT {_half_up("sum(usage_count)", "count(*)")} AS mean_count, max(usage_count
 FROM usage""",
         "dwell_by_hour": f"{_dwell(1, 'hour')} "
         f"SELECT *, {_mean_of('dwell', 'dwell_min', 1)} AS reference FROM dwell",
-        "dwell_by_site_hour": f"{_dwell(1, 'site', 'hour')} SELECT * FROM dwell",
+        "dwell_by_site_hour": f"""{_dwell(1, 'site', 'hour')}, hourly AS (
+  SELECT {_half_up("sum(dwell_sec)", "count(*) * 60", 1)} AS m FROM stays GROUP BY hour(in_ts))
+SELECT *, {_mean_of('hourly', 'm', 1)} AS reference FROM dwell""",
         "dwell_by_weekday": f"{_dwell(2, 'weekday')} "
-        f"SELECT *, {_mean_of('dwell', 'dwell_min', 2)} AS reference, "
+        f"SELECT *, {_mean_of('dwell', 'dwell_min', 2, 1)} AS reference, "
         f"{WEEKDAY_NAME} AS weekday_name FROM dwell",
         "dwell_by_site_weekday": f"{_dwell(2, 'site', 'weekday')} "
         f"SELECT *, {WEEKDAY_NAME} AS weekday_name FROM dwell",
@@ -481,9 +508,11 @@ FROM marked""",
         "occupancy_in_range": f"{V2_CELLS} SELECT sensor, hour, occupied_sec, "
         f"pct100::DOUBLE / 100 AS occupancy_pct FROM cells WHERE CAST(hour AS DATE) {IN_RANGE}",
         "occupancy_grid_dense": f"{BATCH_DENSE} SELECT * FROM dense",
-        "occupancy_wide": f"""{V1_CELLS}
-PIVOT (SELECT hour, sensor, pct100::DOUBLE / 100 AS v FROM cells)
-ON sensor USING coalesce(first(v), 0) GROUP BY hour""",
+        "occupancy_wide": f"{V1_CELLS} SELECT hour, "
+        + ", ".join(
+            f"coalesce(max(pct100::DOUBLE / 100) FILTER (WHERE sensor = '{s}'), 0) AS \"{s}\"" for s in SELECTED_SHORT
+        )
+        + " FROM cells GROUP BY hour",
         "occupancy_unpivot": f"""{BATCH_DENSE}
 SELECT sensor, printf('h%02d', hour(hour)) AS hour_column,
   sum(occupied_sec)::DOUBLE / (count(*) * 3600)::DOUBLE AS fraction
@@ -492,10 +521,13 @@ FROM dense GROUP BY ALL""",
         f"{_mean_of('occupancy', 'occupancy_pct', 1)} AS reference FROM occupancy",
         "occupancy_by_hour_in_range": f"{_observed('hour', days=IN_RANGE)} "
         "SELECT hour, occupancy_pct FROM occupancy",
-        "occupancy_by_site_hour": f"{_observed('hour', 'site')} "
-        "SELECT unit AS site, hour, occupancy_pct FROM occupancy",
+        "occupancy_by_site_hour": _observed("hour", "site") + f""", whole AS (
+  SELECT hour(h.hour) AS hour, {_half_up("sum(coalesce(c.pct100, 0))", "count(*) * 100", 1)} AS v
+  FROM units u CROSS JOIN hours h LEFT JOIN cells c ON c.sensor = u.sensor AND c.hour = h.hour
+  GROUP BY ALL)
+SELECT unit AS site, hour, occupancy_pct, {_mean_of("whole", "v", 1)} AS reference FROM occupancy""",
         "occupancy_heatmap": f"{_observed('hour', 'sensor')} "
-        "SELECT substr(unit, 1, 2) AS site, unit AS sensor, hour, occupancy_pct FROM occupancy",
+        f"SELECT {SITE.format('unit')} AS site, unit AS sensor, hour, occupancy_pct FROM occupancy",
         "occupancy_profile_transposed": f"""{BATCH_DENSE}, profile AS (
   SELECT sensor, hour(hour) AS h, sum(occupied_sec)::DOUBLE / (count(*) * 3600)::DOUBLE AS f
   FROM dense GROUP BY ALL)
@@ -513,20 +545,25 @@ FROM dense GROUP BY sensor""",
         f"{_mean_of('occupancy', 'occupancy_pct', 1)} AS reference, "
         f"{WEEKDAY_NAME} AS weekday_name FROM occupancy",
         "occupancy_by_site_weekday": f"{_observed('weekday', 'site')} SELECT unit AS site, weekday, "
-        f"occupancy_pct, {WEEKDAY_NAME} AS weekday_name FROM occupancy",
+        f"occupancy_pct, {_mean_of('occupancy', 'occupancy_pct', 1)} AS reference, "
+        f"{WEEKDAY_NAME} AS weekday_name FROM occupancy",
         "top_sensors_occupancy": f"""{V1_CELLS}, sums AS (
   SELECT sensor, sum(pct100) AS s FROM cells GROUP BY 1 ORDER BY s DESC, sensor LIMIT 5)
 SELECT sensor, {_half_up("s", "(SELECT count(DISTINCT hour) FROM cells) * 100", 1)} AS occupancy_pct
 FROM sums""",
         "anova_dwell_by_site": ANOVA,
+        "anova_dwell_hours_by_site": ANOVA.replace(RESPONSES, FRACTIONAL)
+        .replace("dwell_sec::DOUBLE", "dwell_hours").replace("arrival_hour::DOUBLE", "arrival_hours")
+        .replace("'dwell_sec'", "'dwell_hours'").replace("'arrival_hour'", "'arrival_hours'"),
         "manova_dwell": MANOVA,
         "tukey_dwell": TUKEY,
     }
     for period in ("date", "weekday", "month"):
-        q[f"occupancy_site_{period}"] = f"{_sparse(period)} SELECT * FROM by_site"
+        mean = "(SELECT round(avg(occupancy_pct), 1) FROM by_site) AS reference"
+        q[f"occupancy_site_{period}"] = f"{_sparse(period)} SELECT *, {mean} FROM by_site"
         q[f"occupancy_{period}_all"] = (
-            f"{_sparse(period)} SELECT {period}, round(avg(occupancy_pct), 6) AS occupancy_pct "
-            "FROM by_site GROUP BY 1"
+            f"{_sparse(period)} SELECT {period}, round(avg(occupancy_pct), 6) AS occupancy_pct, "
+            f"{mean} FROM by_site GROUP BY 1"
         )
     for name in ("date", "hour", "weekday", "month"):
         q[f"usage_by_grain_{name}"] = f"{_usage(V2_STAYS, name)} SELECT * FROM usage"
@@ -537,6 +574,14 @@ FROM sums""",
         "year": "date_trunc('year', in_ts)::DATE",
     }
     for width, bucket in buckets.items():
+        rebinned = f"""{V2_CELLS}, by_site AS (
+  SELECT site, {bucket.replace("in_ts", "hour")} AS period,
+    sum(pct100)::DOUBLE / (count(*) * 100)::DOUBLE AS occupancy_pct
+  FROM cells GROUP BY ALL)"""
+        q[f"occupancy_rebinned_{width}"] = f"{rebinned} SELECT * FROM by_site"
+        q[f"occupancy_rebinned_{width}_all"] = (
+            f"{rebinned} SELECT period, round(avg(occupancy_pct), 6) AS occupancy_pct FROM by_site GROUP BY 1"
+        )
         q[f"usage_rebinned_{width}"] = (
             f"{V2_STAYS} SELECT {bucket} AS period, count(*) AS usage_count FROM stays GROUP BY 1"
         )

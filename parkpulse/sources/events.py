@@ -43,7 +43,9 @@ def messages_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     # Dropping the fraction on the text keeps the result independent of the session zone.
     sent = F.col("ts").cast("timestamp_ntz") - F.expr(f"INTERVAL {SHIFT_DAYS} DAYS")
-    number = F.lpad(F.col("user_id").cast("string"), 5, "0")
+    digits = F.col("user_id").cast("string")
+    # At least five digits; `lpad` would also cut longer numbers.
+    number = F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(0), 5 - F.length(digits))), digits)
     return events.select(
         F.col("event_id").alias("row_id"),
         F.concat(F.lit("주차센서_"), site, F.lit("졸음쉼터_#"), number).alias("sensor"),

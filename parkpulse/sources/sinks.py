@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", by: str | None = None) -> None:
+def write_table(
+    df: DataFrame, path: str, fmt: str = "parquet", by: str | None = None, mode: str = "error"
+) -> None:
     """Write `df`; with `by`, into one folder per value.
 
     Rows of one value are brought together first, so a folder holds few files; adaptive execution
-    splits a value that is too large for one task.
+    splits a value that is too large for one task. What is at `path` already is only replaced with
+    mode "overwrite".
     """
     if by:
         df = df.hint("rebalance", by)
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode(mode)
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
     if by:

@@ -148,9 +148,9 @@ def test_range_keeps_all_sensors_but_only_its_hours(spark):
 
 def test_wide_and_back(spark, two_sensors):
     cells = O.hourly_occupancy(two_sensors)
-    wide = O.to_wide(cells)
-    assert wide.columns == ["hour", "대신#01", "옥천#02"]
-    assert [tuple(r)[1:] for r in wide.orderBy("hour").collect()] == [(99.97, 25.0), (50.0, 0.0)]
-    assert O.from_wide(wide, "hour", "sensor", "occupancy_pct").count() == 4
-    with pytest.raises(ValueError, match="long form"):
-        O.to_wide(cells, [str(i) for i in range(10_001)])
+    wide = O.to_wide(cells, ["대신#01", "옥천#02", "없음#03"])
+    assert wide.columns == ["hour", "대신#01", "옥천#02", "없음#03"]
+    assert [tuple(r)[1:] for r in wide.orderBy("hour").collect()] == [(99.97, 25.0, 0.0), (50.0, 0.0, 0.0)]
+    assert O.from_wide(wide, "hour", "sensor", "occupancy_pct").count() == 6
+    only = O.to_wide(cells, ["옥천#02"])
+    assert only.count() == 2  # the hours observed for any sensor

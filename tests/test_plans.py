@@ -47,11 +47,24 @@ def test_zero_filled_mean_reads_the_cells_once(raw):
 
 
 @pytest.mark.parametrize("name", ["status_v1", "status_v2", "stays_v1", "occupancy_hourly",
-                                  "error_summary_sensor", "stay_summary", "occupancy_heatmap"])
+                                  "error_summary_sensor", "stay_summary"])
 def test_no_single_partition(spark, name):
     assert "SinglePartition" not in plan_of(catalog()[name](spark, SF))
 
 
+def test_heatmap_has_no_window_over_buckets(raw):
+    plan = plan_of(O.observed_mean(P.guarded_cells(raw), "hour", "sensor"))
+    windows = [line for line in plan.splitlines() if re.search(r"[+:-] \*?.*Window \[", line)]
+    assert windows and not any("bucket" in line for line in windows)
+    assert not re.search(r"hashpartitioning\(bucket#\d+, \d+\)(?!.*ENSURE)", plan)
+
+
+@pytest.mark.parametrize("name", ["usage_by_site_weekday", "usage_by_site_hour", "dwell_by_site_hour"])
+def test_site_references_move_no_rows_to_one_task(spark, name):
+    plan = plan_of(catalog()[name](spark, SF))
+    assert not any("Window" in line and "site" in line for line in plan.splitlines())
+
+
 def test_no_cartesian_products(spark):
     for name, query in catalog().items():
         plan = plan_of(query(spark, SF))

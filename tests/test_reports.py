@@ -117,6 +117,12 @@ def test_references(spark):
     assert {r.reference for r in total.collect()} == {2.0}
 
 
+def test_reference_of_hundredths_may_have_one_decimal(spark):
+    report = spark.createDataFrame([(1, 10.06), (2, 10.08)], "k int, v double")
+    assert R.with_reference_value(report, "v", 2).first().reference == 10.07
+    assert R.with_reference_value(report, "v", 2, to=1).first().reference == 10.1
+
+
 def test_error_totals_can_exceed_the_messages(spark):
     raw = messages_from_events(spark, f"{TESTDATA}/sf0.01")
     coded = P.guarded(raw, style="full", post_report=True)
@@ -183,6 +189,35 @@ def test_tukey(groups):
     assert rows["c-a"].p_adjusted < r.p_adjusted < 0.05
 
 
+@pytest.mark.parametrize("factor,shift", [(0.1, 0.0), (1.0, 1e9), (1e-3, 0.25)])
+def test_tests_do_not_depend_on_unit_and_origin(groups, factor, shift):
+    moved = groups.select("g", (F.col("y") * factor + shift).alias("y"), (F.col("z") * factor + shift).alias("z"))
+    f = {r.response: r.f_value for r in G.anova(moved, "g", ("y", "z")).collect()}
+    assert f == pytest.approx({"y": 27.0, "z": 31.0}, rel=1e-6)
+    assert G.manova(moved, "g", ("y", "z")).first().pillai == pytest.approx(
+        G.manova(groups, "g", ("y", "z")).first().pillai, rel=1e-6
+    )
+    p = {r.comparison: r.p_adjusted for r in G.tukey(moved, "g", "y").collect()}
+    assert p == pytest.approx({r.comparison: r.p_adjusted for r in G.tukey(groups, "g", "y").collect()}, rel=1e-5)
+
+
+def test_fractions_by_hand(spark):
+    data = [("a", "0.5"), ("a", "1.5"), ("b", "2.25"), ("b", "2.75"), ("c", "4.0"), ("c", "5.0")]
+    text = spark.createDataFrame(data, "g string, y string")
+    for kind in ("double", "decimal(6,2)"):
+        r = G.anova(text.withColumn("y", F.col("y").cast(kind)), "g", ("y",)).first()
+        # Means 1, 2.5, 4.5 around 8/3; squares within 0.5 + 0.125 + 0.5.
+        assert r.ss_within == pytest.approx(1.125)
+        assert r.ss_between == pytest.approx(2 * (25 + 0.25 + 30.25) / 9)
+        assert r.f_value == pytest.approx((r.ss_between / 2) / (1.125 / 3))
+
+
+def test_tukey_has_no_limit_on_groups(spark):
+    many = spark.range(3000).select((F.col("id") % 600).cast("string").alias("g"), (F.col("id") % 7).alias("y"))
+    pairs = G.tukey(many, "g", "y").select("comparison")
+    assert pairs.count() == pairs.distinct().count() == 600 * 599 // 2
+
+
 def test_tail_probabilities():
     assert f_upper_tail(1180.161, 2, 147) == pytest.approx(2.8568e-91, rel=1e-3)
     assert f_upper_tail(4.0, 1, 1e9) == pytest.approx(0.0455003, abs=1e-6)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parkpulse.functions import vocabulary as V
 from parkpulse.operators.parse import parse_guarded, with_names
+from parkpulse.operators.stays import enrich_stays
 from parkpulse.plans import pipeline as P
 from parkpulse.plans.batch import run_batch
 from parkpulse.sources.events import messages_from_events
@@ -163,15 +164,45 @@ def test_sensor_styles(spark, style, name):
 def test_batch_run(spark, tmp_path):
     raw = messages_from_events(spark, f"{TESTDATA}/sf0.001")
     chosen = ("대신졸음쉼터_#00003",)
-    run_batch(raw, str(tmp_path / "a"), chosen)
+    sites = ("대신", "영천", "옥천")
+    run_batch(raw, str(tmp_path / "a"), chosen, sites)
     run_batch(raw, str(tmp_path / "b"), chosen, row_limit=40)
+    with pytest.raises(Exception, match="already exists"):
+        run_batch(raw, str(tmp_path / "a"))
     read = lambda run, name: spark.read.parquet(str(tmp_path / run / name))
     for name in ("messages", "coded_messages", "stays", "occupancy"):
         assert rows(read("a", name)) == rows(read("b", name)), name
     csv = lambda name: spark.read.csv(str(tmp_path / "a" / name), header=True)
     for name in ("error_summary", "sequence_errors_daily", "stay_summary", "error_rates_monthly",
-                 "occupancy_profile", "occupancy_summary", "manova", "anova", "tukey_dwell_sec"):
+                 "error_rates_selected", "error_rates_wide", "occupancy_wide", "occupancy_profile", "occupancy_summary", "manova", "anova", "tukey_dwell_sec"):
         assert csv(name).count() > 0, name
     assert read("a", "coded_messages").count() == 1000
     assert read("a", "stays").count() == 133
-    assert csv("error_rates_monthly").columns == ["month", "대신", "영천", "옥천", *chosen]
+    assert csv("error_rates_monthly").columns == ["site", "month", "error_rate"]
+    assert csv("error_rates_wide").columns == ["month", *sites, *chosen]
+    assert csv("occupancy_wide").columns == ["hour", *chosen]
+
+
+# ---- names
+
+
+def test_sensor_numbers_are_never_cut(spark, tmp_path):
+    events = spark.range(99_998, 100_003).select(
+        F.col("id").alias("event_id"), F.lit("2024-01-01 10:00:00").cast("timestamp_ntz").alias("ts"),
+        F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit('{"k": 1}').alias("props"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    names = {r.sensor.rpartition("#")[2] for r in messages_from_events(spark, str(tmp_path)).collect()}
+    assert names == {"99998", "99999", "100000", "100001", "100002"}
+
+
+def test_site_is_the_whole_name_before_the_separator(spark):
+    names = ["주차센서_대신졸음쉼터_#01", "주차센서_대신동졸음쉼터_#01", "주차센서_대신동북졸음쉼터_#01"]
+    raw = raw_messages(spark, [
+        m for n in names for m in (park("2022-03-01 10:00:00", V.EVENT, n), depart("2022-03-01 11:00:00", V.EVENT, n))
+    ])
+    for style in ("full", "short", "charclass"):
+        stays = P.precedence_stays(raw) if style == "charclass" else P.guarded_stays(raw, style=style)
+        assert sorted(r.site for r in stays.collect()) == ["대신", "대신동", "대신동북"], style
+    full = P.guarded_stays(raw, style="full")
+    assert rows(full.select("sensor", "site")) == rows(enrich_stays(full).select("sensor", "site"))
