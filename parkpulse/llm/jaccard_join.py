@@ -15,7 +15,8 @@ shingle. Two documents link when 100 * |intersection| >= 80 * |union|.
    edited one of the posting (the one in whose order the shingle comes first): one pair per posting,
    not all pairs. These pairs are verified on the whole sets, and the links joined into components.
 5. Then pairs between different components that pass (3) and were not yet verified are verified too.
-   Pairs inside a component cannot change it. So no link between components is lost.
+   Pairs inside a component cannot change it. So no link between components is lost. A pair is not
+   even counted if the bitmaps of what each document could share show fewer than l shingles.
 
 A shingle that very many documents hold in their prefix is cut into blocks: each document goes to
 every pair of blocks that includes its own, so that no task holds a whole posting (BLOCK).
@@ -46,10 +47,15 @@ COUNTERS = 1 << 22
 SEGMENT = 1 << 16
 #: Estimated documents of a shingle above which its posting is cut into blocks of so many.
 BLOCK = 20_000
-MOST_MATCHES = 8
+MOST_MATCHES = 12
 
 _ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("l", "<i2"), ("part", "<i2")])
-_ENTRY_C = np.dtype([*_ENTRY.descr, ("comp", "<i8")])
+#: An entry with its component and bitmaps of the keys of its document's entries: of all, and of those
+#: that count against a document of the same size or a larger one; `extra`: such entries less bits.
+BITMAP = 8
+_ENTRY_C = np.dtype(
+    [*_ENTRY.descr, ("comp", "<i8"), ("bits", "<u8", (BITMAP,)), ("near", "<u8", (BITMAP,)), ("extra", "<i4")]
+)
 _PAIRS = "a bigint, b bigint, l int, shared int"
 
 
@@ -124,7 +130,7 @@ def _levels(counts: DataFrame) -> np.ndarray:
 def matches_asked(estimates: np.ndarray, base: float) -> int:
     """How many shared shingles a document asks for, by the documents its prefix would meet."""
     cost = float(np.maximum(estimates - base, 0).sum())
-    return min(MOST_MATCHES, 1 + int(np.log2(1 + cost / 1000)))
+    return min(MOST_MATCHES, 1 + int(np.log2(1 + cost / 200)))
 
 
 @lru_cache(maxsize=1)
@@ -258,20 +264,57 @@ def _unpacked(postings: DataFrame) -> DataFrame:
     return postings.mapInArrow(run, "key bigint, doc bigint, n int, pos int, l smallint")
 
 
+def _with_bitmaps(entries: np.ndarray) -> np.ndarray:
+    """Fill in the bitmaps; all entries of a document must be there."""
+    entries = entries[np.argsort(entries["doc"], kind="stable")]
+    begins = np.flatnonzero(np.concatenate([[True], entries["doc"][1:] != entries["doc"][:-1]]))
+    sizes = np.diff(np.append(begins, len(entries)))
+    at = (mix(entries["key"] ^ np.uint64(0x5BF03635)) % np.uint64(64 * BITMAP)).astype(np.int64)
+    one = np.zeros((len(entries), BITMAP), np.uint64)
+    one[np.arange(len(entries)), at >> 6] = np.uint64(1) << (at & 63).astype(np.uint64)
+    entries["bits"] = np.repeat(np.bitwise_or.reduceat(one, begins, axis=0), sizes, axis=0)
+    n = entries["n"].astype(np.int64)
+    counts = entries["pos"] <= n - -(-8 * n // 9) + entries["l"] - 1
+    one[~counts] = 0
+    near = np.bitwise_or.reduceat(one, begins, axis=0)
+    extra = np.add.reduceat(counts.astype(np.int64), begins) - np.bitwise_count(near).sum(axis=1, dtype=np.int64)
+    entries["near"], entries["extra"] = np.repeat(near, sizes, axis=0), np.repeat(extra, sizes)
+    return entries
+
+
+def _could_share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """No fewer than the shared shingles that count for each pair.
+
+    Those that count are in the `near` map of the smaller document and in the map of the other; of
+    two of one size, in both `near` maps. Shingles that fall together in one bit of a map are at most
+    as many as its `extra`.
+    """
+
+    def bound(small, large, bits):
+        return np.bitwise_count(small["near"] & large[bits]).sum(axis=-1, dtype=np.int64) + small["extra"]
+
+    same = np.minimum(bound(x, y, "near"), bound(y, x, "near"))
+    return np.where(x["n"] == y["n"], same, np.where(x["n"] < y["n"], bound(x, y, "bits"), bound(y, x, "bits")))
+
+
 def _cross_pairs(postings: DataFrame, labels: DataFrame, shards: int) -> DataFrame:
     """Pairs of different components among all postings."""
-    named = _unpacked(postings).join(labels, F.col("doc") == labels["node"], "left").select(
-        "key", "doc", "n", "pos", "l", F.coalesce("component", "doc").alias("comp")
+    named = (
+        _unpacked(postings).repartition(shards, "doc")
+        .join(labels, F.col("doc") == labels["node"], "left")
+        .select("key", "doc", "n", "pos", "l", F.coalesce("component", "doc").alias("comp"))
     )
 
     def pack(batches):
+        parts = []
         for batch in batches:
-            if batch.num_rows:
-                e = np.zeros(batch.num_rows, _ENTRY_C)
-                for name, column in zip(("key", "doc", "n", "pos", "l", "comp"), batch.columns, strict=True):
-                    values = column.to_numpy()
-                    e[name] = values.view(np.uint64) if name == "key" else values
-                yield _sharded(e, shards)
+            e = np.zeros(batch.num_rows, _ENTRY_C)
+            for name, column in zip(("key", "doc", "n", "pos", "l", "comp"), batch.columns, strict=True):
+                values = column.to_numpy()
+                e[name] = values.view(np.uint64) if name == "key" else values
+            parts.append(e)
+        if sum(map(len, parts)):
+            yield _sharded(_with_bitmaps(np.concatenate(parts)), shards)
 
     def run(batches):
         e = _gathered(batches, _ENTRY_C, 1)
@@ -283,6 +326,7 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, shards: int) -> DataFra
         begins, lengths = begins[mixed], lengths[mixed]
         two = begins[lengths == 2]
         fine, asked = _passing(e[two], e[two + 1])
+        fine &= _could_share(e[two], e[two + 1]) >= asked
         pairs = [(e["doc"][two][fine], e["doc"][two + 1][fine], asked[fine])]
         held = 0
         for at, n in zip(begins[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
@@ -290,7 +334,8 @@ def _cross_pairs(postings: DataFrame, labels: DataFrame, shards: int) -> DataFra
             for i in range(n - 1):
                 rest = group[i + 1 :]
                 rest = rest[rest["comp"] != group["comp"][i]]
-                fine, asked = _passing(np.broadcast_to(group[i], len(rest)), rest)
+                fine, asked = _passing(group[i], rest)
+                fine &= _could_share(group[i], rest) >= asked
                 if fine.any():
                     pairs.append((np.full(int(fine.sum()), group["doc"][i]), rest["doc"][fine], asked[fine]))
                     held += len(pairs[-1][0])
