@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parkpulse.llm.graph import components
-from parkpulse.llm.shared import partitions, read_table, written
+from parkpulse.llm.shared import arrow_batches, partitions, read_table, written
 from parkpulse.llm.wordhash import NOT_SPACE, counted, distinct, mix, rolling, slices, text_buffers, words
 
 N = 5
@@ -47,6 +47,9 @@ COUNTERS = 1 << 22
 SEGMENT = 1 << 16
 #: Estimated documents of a shingle above which its posting is cut into blocks of so many.
 BLOCK = 20_000
+#: Texts, and pairs with their sets, that a task holds at once.
+TEXT_ROWS = 1000
+PAIR_ROWS = 200
 MOST_MATCHES = 12
 
 _ENTRY = np.dtype([("key", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("l", "<i2"), ("part", "<i2")])
@@ -372,21 +375,27 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 fine.append(100 * common >= 80 * (len(both) - common))
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
+    spark = docs.sparkSession
     needed = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = written(docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(load, "doc bigint, shingles binary"))
-    return (
+    found = docs.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    with arrow_batches(spark, TEXT_ROWS):
+        sets = written(found.mapInArrow(load, "doc bigint, shingles binary"))
+    checked = (
         pairs.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
         .join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a")
         .select("a", "b", "x", "y")
         .mapInArrow(verify, "a bigint, b bigint")
     )
+    with arrow_batches(spark, PAIR_ROWS):
+        return written(checked)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of `docs`."""
     shards = partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    first = written(_first_pass(docs))
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        first = written(_first_pass(docs))
     rows = first.where("segment IS NULL").select("doc_id", "n_shingles", "digest")
     levels = _levels(first.where("segment IS NOT NULL").select("segment", "counts"))
 
@@ -397,15 +406,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     heads = docs.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
 
-    postings = written(_pivot_pairs(_prefixes(heads, levels, shards), shards))
+    with arrow_batches(docs.sparkSession, TEXT_ROWS):
+        postings = written(_pivot_pairs(_prefixes(heads, levels, shards), shards))
     near = written(_candidates(postings.where("entries IS NULL").select("a", "b", "l", "shared")))
-    links = written(_linked(near, docs))
+    links = _linked(near, docs)
     labels = components(links)
 
     cross = _cross_pairs(postings.where("entries IS NOT NULL").select("entries"), labels, shards)
     far = written(_candidates(cross).join(near, ["a", "b"], "left_anti"))
     if far.limit(1).count():
-        more = written(_linked(far, docs))
+        more = _linked(far, docs)
         if more.limit(1).count():
             labels = components(links.union(more))
 
