@@ -2,22 +2,18 @@
 
 A window over one sensor runs in one task. That is the right plan while a sensor is small: one
 shuffle by sensor serves the duplicate check, the windows and every later per-sensor aggregate.
-Sensors above a row limit are cut into slices instead: Spark's range partitioner splits their
-rows by (sensor, ts, row_id) into slices of even size - the row id is unique, so even a pile of
-equal messages splits - and only the rows at the ends of a slice look across, through a table
-with one row per slice.
+Sensors above a row limit are cut into slices instead, at places (ts, row_id) taken from a sample of
+their rows - the row id is unique, so even a pile of equal messages splits - and only the rows at the
+ends of a slice look across, through a table with one row per slice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parkpulse.session import ensure_checkpoint_dir
-
 # Rows one task may sort; a few gigabytes of messages.
 SENSOR_ROW_LIMIT = 20_000_000
 SLICE = "slice"
@@ -38,6 +34,60 @@ def hot_sensors(messages: DataFrame, row_limit: int = SENSOR_ROW_LIMIT) -> DataF
     return messages.sparkSession.createDataFrame(hot, counts.schema) if hot else None
 
 
+def _place() -> Column:
+    """Where a message stands among those of its sensor; never NULL, unique with the row id."""
+    return F.struct(
+        F.col("ts").isNull().alias("late"),
+        F.coalesce("ts", F.lit("1970-01-01").cast("timestamp_ntz")).alias("ts"),
+        F.col("row_id").alias("row_id"),
+    )
+
+
+def slice_bounds(
+    messages: DataFrame, hot: DataFrame, row_limit: int = SENSOR_ROW_LIMIT
+) -> DataFrame:
+    """Per hot sensor the places at which its slices begin, as a sorted array.
+
+    Every so many rows of a sample, chosen by the hash of the row id, so the bounds depend on the
+    messages alone. There are about rows / limit of them; like the list of hot sensors they are
+    kept as a local table.
+    """
+    every = min(50, row_limit)
+    sampled = F.pmod(F.xxhash64("row_id"), F.lit(max(1, row_limit // every))) == 0
+    rank = F.row_number().over(Window.partitionBy("sensor").orderBy("place"))
+    bounds = (
+        _of_hot(messages, hot, "left_semi")
+        .where(sampled)
+        .select("sensor", _place().alias("place"))
+        .withColumn("rank", rank)
+        .where(F.col("rank") % every == 0)
+        .groupBy("sensor")
+        .agg(F.sort_array(F.collect_list("place")).alias("bounds"))
+    )
+    return messages.sparkSession.createDataFrame(bounds.collect(), bounds.schema)
+
+
+def _of_hot(messages: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    keys = F.broadcast(hot.select(F.col("sensor").alias("hot_sensor")))
+    return messages.join(keys, F.col("sensor").eqNullSafe(F.col("hot_sensor")), how)
+
+
+def _bounds_before(place: Column) -> Column:
+    """How many bounds stand at or before a place, by bisection."""
+    start = F.struct(F.lit(0).alias("low"), F.size("bounds").alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        before = F.get("bounds", middle) <= place
+        narrower = F.when(before, F.struct((middle + 1).alias("low"), at["high"].alias("high"))).otherwise(
+            F.struct(at["low"].alias("low"), middle.alias("high"))
+        )
+        return F.when(at["low"] < at["high"], narrower).otherwise(at)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size("bounds") + 1)).cast("int"))
+    return F.aggregate(steps, start, halve, lambda at: at["low"])
+
+
 def slice_hot_sensors(
     messages: DataFrame,
     hot: DataFrame,
@@ -46,21 +96,17 @@ def slice_hot_sensors(
 ) -> DataFrame:
     """Add `slice`: 0 for ordinary sensors, above 0 and rising with time for hot ones.
 
-    `prepare` is applied to the hot rows before they are cut. The slices are checkpointed: later
-    branches must all see the same cut, also after an executor is lost.
+    `prepare` is applied to the hot rows before they are cut. A slice follows from the message and
+    the bounds alone, so all branches see one cut, also when a part is computed again.
     """
-    ensure_checkpoint_dir(messages.sparkSession)
-    slices = ceil(hot.agg(F.sum("rows")).first()[0] / row_limit)
-    keys = F.broadcast(hot.select(F.col("sensor").alias("hot_sensor")))
-    same = F.col("sensor").eqNullSafe(F.col("hot_sensor"))
-    rows = messages.join(keys, same, "left_semi")
-    sliced = (
-        (prepare(rows) if prepare else rows)
-        .repartitionByRange(slices, "sensor", *message_order())
-        .withColumn(SLICE, F.spark_partition_id() + 1)
-        .checkpoint()
+    bounds = slice_bounds(messages, hot, row_limit).withColumnRenamed("sensor", "hot_sensor")
+    rows = _of_hot(messages, hot, "left_semi")
+    cut = (prepare(rows) if prepare else rows).join(
+        F.broadcast(bounds), F.col("sensor").eqNullSafe(F.col("hot_sensor")), "left"
     )
-    ordinary = messages.join(keys, same, "left_anti").withColumn(SLICE, F.lit(0))
+    number = F.coalesce(_bounds_before(_place()), F.lit(0)) + 1
+    sliced = cut.withColumn(SLICE, number).drop("hot_sensor", "bounds")
+    ordinary = _of_hot(messages, hot, "left_anti").withColumn(SLICE, F.lit(0))
     return ordinary.unionByName(sliced)
 
 
@@ -81,7 +127,7 @@ def with_neighbours(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
         inside.join(F.broadcast(ends), ["sensor", SLICE], "left")
         .withColumn("prev", F.coalesce("prev", "last_before"))
         .withColumn("next", F.coalesce("next", "first_after"))
-        .drop("last_before", "first_after")
+        .select(*inside.columns)
     )
 
 

@@ -29,7 +29,13 @@ from parkpulse.operators.stays import pair_stays
 def guarded_messages(
     raw: DataFrame, style: str = "short", row_limit: int = SENSOR_ROW_LIMIT
 ) -> DataFrame:
-    """Parsed, complete, distinct messages, placed for the windows that follow.
+    """Parsed, complete, distinct messages."""
+    return _placed_messages(raw, style, row_limit).drop(SLICE)
+
+
+def _placed_messages(raw: DataFrame, style: str, row_limit: int) -> DataFrame:
+    """Parsed, complete, distinct messages, placed for the windows that follow; with the slice of
+    each where sensors are cut.
 
     The messages are shuffled once, by sensor, and copies are dropped in place. Copies of a hot
     sensor are dropped before, by a pre-aggregated shuffle, since one message may fill a task.
@@ -49,10 +55,23 @@ def guarded(
     post_report: bool = False,
     row_limit: int = SENSOR_ROW_LIMIT,
 ) -> DataFrame:
-    return classify_guarded(guarded_messages(raw, style, row_limit), post_report)
+    return _guarded(raw, style, post_report, row_limit).drop(SLICE)
+
+
+def _guarded(
+    raw: DataFrame,
+    style: str = "short",
+    post_report: bool = False,
+    row_limit: int = SENSOR_ROW_LIMIT,
+) -> DataFrame:
+    return classify_guarded(_placed_messages(raw, style, row_limit), post_report)
 
 
 def precedence(raw: DataFrame, row_limit: int = SENSOR_ROW_LIMIT) -> DataFrame:
+    return _precedence(raw, row_limit).drop(SLICE)
+
+
+def _precedence(raw: DataFrame, row_limit: int = SENSOR_ROW_LIMIT) -> DataFrame:
     named = with_names(raw, "charclass")
     parsed = parse_precedence(named)
     hot = hot_sensors(named, row_limit)
@@ -62,11 +81,11 @@ def precedence(raw: DataFrame, row_limit: int = SENSOR_ROW_LIMIT) -> DataFrame:
 
 
 def guarded_stays(raw: DataFrame, **options) -> DataFrame:
-    return pair_stays(guarded(raw, **options))
+    return pair_stays(_guarded(raw, **options))
 
 
 def precedence_stays(raw: DataFrame, require_departure: bool = False, **options) -> DataFrame:
-    return pair_stays(precedence(raw, **options), require_departure)
+    return pair_stays(_precedence(raw, **options), require_departure)
 
 
 def guarded_cells(raw: DataFrame, **options) -> DataFrame:

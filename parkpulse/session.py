@@ -1,9 +1,7 @@
-"""Session helpers: settings every plan relies on, and reliable checkpoints."""
+"""The session of tests and benchmark."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -20,16 +18,3 @@ def local_session(cpus: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .getOrCreate()
     )
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared `spark.checkpoint.dir`; only a local master may fall back."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="parkpulse-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

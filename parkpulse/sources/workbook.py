@@ -11,8 +11,9 @@ from xml.etree.ElementTree import iterparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+FILE, PLACE = "source_file", "source_place"
 BATCH_ROWS = 20_000
 _TIME_FORMAT = "%Y-%m-%d %H:%M:%S"
 
@@ -103,7 +104,7 @@ def _as_text(value, is_time: bool, epoch: datetime) -> str | None:
 
 
 def read_workbooks(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
-    """The named columns of every workbook under `path`, as text, in row order per file.
+    """The named columns of every workbook under `path` as text, with its file and place in it.
 
     Times stored as serial numbers are written out. A file without one of the columns fails.
     """
@@ -119,19 +120,19 @@ def read_workbooks(spark: SparkSession, path: str, columns: tuple[str, ...]) ->
                     raise ValueError(f"{name}: columns missing: {missing}")
                 with zipfile.ZipFile(io.BytesIO(content)) as book:
                     epoch = _epoch(book)
-                batch: list[list[str | None]] = []
-                for cells in rows:
+                batch: list[list] = []
+                for place, cells in enumerate(rows):
                     if not cells:
                         continue
-                    batch.append(
-                        [_as_text(cells.get(header[c]), c == time_column, epoch) for c in columns]
-                    )
+                    values = [_as_text(cells.get(header[c]), c == time_column, epoch) for c in columns]
+                    batch.append([*values, name, place])
                     if len(batch) == BATCH_ROWS:
-                        yield pd.DataFrame(batch, columns=list(columns))
+                        yield pd.DataFrame(batch, columns=[*columns, FILE, PLACE])
                         batch = []
                 if batch:
-                    yield pd.DataFrame(batch, columns=list(columns))
+                    yield pd.DataFrame(batch, columns=[*columns, FILE, PLACE])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = StructType([StructField(c, StringType()) for c in columns])
+    schema = StructType([StructField(c, StringType()) for c in (*columns, FILE)])
+    schema.add(PLACE, LongType())
     return files.mapInPandas(batches, schema)

@@ -98,6 +98,26 @@ def test_same_messages_from_any_format(spark, tmp_path, fmt):
     assert rows(P.guarded_stays(back)) == rows(P.guarded_stays(raw))
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_ties_across_files_follow_the_files(spark, tmp_path, fmt):
+    """Equal times in several files: one answer, however the files are split and packed."""
+    raw = messages_from_events(spark, f"{TESTDATA}/sf0.001")
+    tied = raw.withColumn("send_ts", F.concat(F.substring("send_ts", 1, 8), F.lit("01 10:00:00")))
+    named = tied.select(*[F.col(n).alias(c) for c, n in COLUMNS.items()])
+    write_table(named.repartition(4), str(tmp_path / "m"), fmt)
+    answers = []
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("10000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            back = read_messages(spark, str(tmp_path / "m"), fmt)
+            assert back.count() == back.select("row_id").distinct().count() == 1000
+            answers.append((rows(P.precedence_stays(back)), rows(P.guarded(back).drop("row_id"))))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    assert answers[0] == answers[1]
+
+
 def test_refuses_unknown_files_and_columns(spark, tmp_path):
     with pytest.raises(ValueError, match="format"):
         read_messages(spark, "messages.txt")
