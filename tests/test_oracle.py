@@ -7,7 +7,9 @@ import duckdb
 import pytest
 from conftest import TESTDATA
 
-from __spark_entry__ import oracle_sql, queries
+import __spark_entry__
+from parkpulse.plans.catalog import catalog as queries
+from parkpulse.plans.oracle import oracle_sql
 
 SF_DIR = f"{TESTDATA}/sf{os.environ.get('TEST_SF', '0.001')}"
 
@@ -23,6 +25,8 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(queries()) == set(oracle_sql())
+    assert set(queries()) <= set(__spark_entry__.queries())
+    assert set(oracle_sql()) <= set(__spark_entry__.oracle_sql())
 
 
 def _types(table):
