@@ -17,9 +17,6 @@ class Bloom:
         self.words = words
         self.mask = np.uint64(len(words) * 64 - 1)
 
-    def __contains__(self, _):
-        raise TypeError("use may_have")
-
     def may_have(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), bool)
         for shift in (0, 32):

@@ -424,7 +424,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .select("digest", F.coalesce("component", "head").alias("component"))
         .union(classes.where("size = 1").join(labels, F.col("head") == F.col("node")).select("digest", "component"))
     )
-    return rows.join(named, "digest", "left").select(
+    # Empty sets have no digest; they stay out of the join, where they would all meet in one task.
+    with_digest, without = rows.where("digest IS NOT NULL"), rows.where("digest IS NULL")
+    placed = with_digest.join(named, "digest", "left").select("doc_id", "n_shingles", "component")
+    placed = placed.union(without.select("doc_id", "n_shingles", "doc_id"))
+    return placed.select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     )
 
