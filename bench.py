@@ -23,7 +23,7 @@ HEADLINE = (
     "dwell_by_site_hour", "top_sensors_dwell", "peak_dwell", "occupancy_hourly",
     "occupancy_by_hour", "occupancy_by_site_weekday", "occupancy_heatmap", "occupancy_site_date",
     "occupancy_grid_dense", "occupancy_profile_transposed", "occupancy_summary_stats",
-    "anova_dwell_by_site", "tukey_dwell",
+    "anova_dwell_by_site", "tukey_dwell", "occupancy_wide", "top_sensors_occupancy", "stays_v1_cut",
 )
 
 

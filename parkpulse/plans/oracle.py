@@ -3,7 +3,7 @@ empty cells really built. Used to check results, never to compute them."""
 
 from __future__ import annotations
 
-from parkpulse.plans.catalog import DAYS, SELECTED, SELECTED_SHORT, SITES
+from parkpulse.plans.catalog import DAYS, HOT_SENSOR, SELECTED, SELECTED_SHORT, SITES
 
 RAW = """
 raw AS (
@@ -231,6 +231,13 @@ def _rate(condition: str) -> str:
     )
 
 
+def _dominated(head: str) -> str:
+    """The same over messages of which every second comes from one sensor."""
+    hot = f"CASE WHEN row_id % 2 = 0 THEN '{HOT_SENSOR}' ELSE sensor END AS sensor"
+    plain = RAW.replace("raw AS", "plain AS")
+    return head.replace(RAW, f"{plain},\nraw AS (SELECT * REPLACE ({hot}) FROM plain)")
+
+
 def _stay_table(head: str, where: str = "TRUE") -> str:
     return f"{head} SELECT sensor, in_ts, out_ts, dwell_sec FROM stays WHERE {where}"
 
@@ -446,6 +453,8 @@ FROM coded WHERE status_code = 3 GROUP BY ALL""",
         + " FROM coded GROUP BY 1",
         "stays_v1": _stay_table(V1_STAYS),
         "stays_v2": _stay_table(V2_STAYS),
+        "stays_v1_cut": _stay_table(_dominated(V1_STAYS)),
+        "stays_v2_cut": _stay_table(_dominated(V2_STAYS)),
         "stays_v2_departures": _stay_table(V2_STAYS, "next_d = '출차'"),
         "stays_enriched": _enriched(BATCH_STAYS, THREE_WAY),
         "stays_two_day_types": _enriched("WITH " + _guarded("full") + STAYS, TWO_WAY),
