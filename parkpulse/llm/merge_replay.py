@@ -161,7 +161,7 @@ class MergeTable:
 class BlockEncoder:
     """Encodes blocks of texts; remembers at most `remember` chunks between blocks."""
 
-    def __init__(self, table: MergeTable, pattern: str, remember: int = 400_000):
+    def __init__(self, table: MergeTable, pattern: str, remember: int = 250_000):
         self.table, self.pattern, self.remember = table, regex.compile(pattern), remember
         self.known: dict[str, np.ndarray] = {}
 
