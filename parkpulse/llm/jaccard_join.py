@@ -10,7 +10,8 @@ shingle. Two documents link when 100 * |intersection| >= 80 * |union|.
 3. If two sets of sizes x and y link, they share at least s = ceil(4(x + y)/9) shingles, and so at
    least l of the first x - s + l of the one and y - s + l of the other, for any l. A document picks
    its l by the estimated number of candidates in its prefix: the dearer, the longer the prefix and
-   the more shared shingles are asked for. A pair is held to the smaller l of its two documents.
+   the more shared shingles are asked for. A pair is held to the smaller l of its two documents, and
+   to no more than s: short sets that link may share fewer shingles than frequent ones ask for.
 4. Postings of a shingle meet in one shard. First every document is paired only with the least
    edited one of the posting (the one in whose order the shingle comes first): one pair per posting,
    not all pairs. These pairs are verified on the whole sets, and the links joined into components.
@@ -209,7 +210,7 @@ def _passing(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which pairs of entries of one key count as a shared prefix shingle, and the l of each pair."""
     nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
     least = -(-4 * (nx + ny) // 9)
-    asked = np.minimum(x["l"], y["l"]).astype(np.int64)
+    asked = np.minimum(np.minimum(x["l"], y["l"]), least)
     fine = (least <= np.minimum(nx, ny)) & (x["doc"] != y["doc"])
     fine &= (x["pos"] <= nx - least + asked - 1) & (y["pos"] <= ny - least + asked - 1)
     return fine, asked

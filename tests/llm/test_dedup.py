@@ -91,6 +91,16 @@ def test_prefixes_lengthen_with_cost():
     assert J.matches_asked(cheap, 3.0) == 1 < J.matches_asked(dear, 3.0) <= J.MOST_MATCHES
 
 
+def test_short_texts_of_frequent_shingles_link(spark):
+    """8 words have 4 shingles; a word more, at either end, makes a link of exactly 4/5."""
+    frequent = [(i, "a b c d e f g h") for i in range(3000)]
+    rare = [(10_000 + i, " ".join(f"w{i // 2}x{j}" for j in range(8))) for i in range(100)]
+    edited = [(20_000, "a b c d e f g h i"), (20_001, "z a b c d e f g h"), (20_002, "a b c d e f g i")]
+    frame = spark.createDataFrame(frequent + rare + edited, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(frame).collect()}
+    assert got == {i: 0 for i, _ in frequent + edited[:2]} | {i: i - i % 2 for i, _ in rare + edited[2:]}
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 140)]
     star = [(5, i) for i in range(200, 260)]
