@@ -3,18 +3,20 @@
 Base spans follow the fixed patterns: per kind the leftmost matches that do not overlap, less those
 that fail the kind's check. High-recall generators then propose further spans, which may overlap
 (two card numbers side by side, a phone number without its country code). Boosted trees score them
-by format and by the characters around. They learn, over all documents, which proposals a base span
-confirms; per kind the threshold is the lowest score at which PRECISION of the proposals at or above
-it are confirmed. A proposal above it is added unless it overlaps a base span or a better proposal.
+by format and by the characters around. They learn, over all documents, which proposals carry evidence
+(`_evident`): checksum, part ranges, shape of a domain, separators, cue words. Base spans are no
+part of it, so what only the method finds is no error, however much of it there is. Per kind the threshold
+is the lowest score at which PRECISION of the proposals at or above it carry evidence. A proposal
+above it is added unless it overlaps a base span or a better proposal.
 
 Each text is read once; it and its spans stay in one row, so nothing is shuffled but the counts of
-distinct feature values, on which the driver fits the trees. By their ranges there are under 200,000
+distinct feature values, on which the driver fits the trees. By their ranges there are under 400,000
 of these whatever the corpus, and in practice tens.
 The base patterns are written with possessive quantifiers and guards at their start. They match the
 same text as the plain ones, without going back over a long run.
 
 Null text counts as empty and has no span. Rows are independent: ties, repeated rows and other
-columns change nothing. Without any confirmed proposal nothing is added.
+columns change nothing. Without any proposal that carries evidence nothing is added.
 """
 
 from __future__ import annotations
@@ -48,7 +50,14 @@ GENERATORS = (
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _FOUR_PARTS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 _SPAN = "struct<kind:int,begin:int,end:int,body:string>"
-FEATURES = ("luhn", "digits", "letters", "marks", "left", "right", "parts", "tail")
+_ADDRESS = r"^[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}$"
+#: A word for telephones up to CUE_REACH characters ahead, with a country code at most in between.
+CUE_REACH = 24
+_CUE = (
+    r"(?i)(?<!\p{L})(?:tel|telephone|telefon|teléfono|téléphone|phone|fax|mobile|cell|handy|call|ring|dial"
+    r"|whatsapp|appelez|llame|anruf)[^\p{L}\n]{0,12}$"
+)
+FEATURES = ("luhn", "digits", "letters", "marks", "left", "right", "parts", "tail", "cue")
 
 
 def _digits(body: Column) -> Column:
@@ -110,6 +119,36 @@ def _side(char: Column) -> Column:
     return F.when(F.coalesce(char, F.lit("")).rlike(r"^\s?$"), 0).when(char.rlike(r"[\p{L}\p{N}]"), 1).otherwise(2)
 
 
+def _cued(text: Column, span: Column) -> Column:
+    reach = F.least(span["begin"], F.lit(CUE_REACH))
+    return F.substring(text, span["begin"] - reach + 1, reach).rlike(_CUE)
+
+
+def _evident(text: Column, span: Column, sure: str) -> Column:
+    """Whether a proposal carries evidence of its kind, whatever the base patterns make of its place.
+
+    A phone needs a plus, an area code in brackets, the form 123-456-7890 or a cue word, and must
+    share no character with one of the numbers in `sure`.
+    """
+    body = span["body"]
+    digits = F.char_length(_digits(body))
+    before = F.when(span["begin"] == 0, 0).otherwise(_side(F.substring(text, span["begin"], F.lit(1))))
+    free = (before != 1) & (_side(F.substring(text, span["end"] + 1, F.lit(1))) != 1)
+    phone = digits.between(9, 15) & (body.rlike(r"^[+(]|^[0-9]{3}-[0-9]{3}-[0-9]{4}$") | _cued(text, span))
+    return (
+        F.when(span["kind"] == KINDS.index("email"), body.rlike(_ADDRESS))
+        .when(span["kind"] == KINDS.index("phone"), free & phone & ~F.exists(sure, lambda s: _overlap(s, span)))
+        .otherwise(free & _numbered(span))
+    )
+
+
+def _numbered(span: Column) -> Column:
+    """Whether an IP address or card number passes its ranges or its checksum."""
+    return ((span["kind"] == KINDS.index("ip")) & _valid("ip", span)) | (
+        (span["kind"] == KINDS.index("card")) & _valid("card", span)
+    )
+
+
 def _featured(text: Column, span: Column) -> Column:
     """The proposal with its features, all small integers."""
     body = span["body"]
@@ -127,6 +166,7 @@ def _featured(text: Column, span: Column) -> Column:
         "right": _side(F.substring(text, span["end"] + 1, F.lit(1))),
         "parts": body.rlike(_FOUR_PARTS).cast("int"),
         "tail": body.rlike(r"\.[A-Za-z]{2,}$").cast("int"),
+        "cue": _cued(text, span).cast("int"),
     }
     return F.struct(span["kind"].alias("kind"), span["begin"].alias("begin"), span["end"].alias("end"), *(values[f].alias(f) for f in FEATURES))
 
@@ -136,7 +176,7 @@ def _overlap(x: Column, y: Column) -> Column:
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """doc_id, base (spans), proposed (spans with features and whether a base span confirms them)."""
+    """doc_id, base (spans), proposed (spans with features and whether they carry evidence)."""
     nothing = F.array().cast(f"array<{_SPAN}>")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     text = F.col("text")
@@ -147,27 +187,23 @@ def proposals(docs: DataFrame) -> DataFrame:
     base = F.concat(*(_checked(k) for k in KINDS))
     more = F.array_distinct(F.concat(*(F.col(f"more{i}") for i in range(len(GENERATORS)))))
     rows = rows.select("doc_id", "text", base.alias("base"), more.alias("more"))
-
-    def confirmed(span):
-        return F.exists(
-            "base", lambda b: (b["kind"] == span["kind"]) & (b["begin"] <= span["begin"]) & (span["end"] <= b["end"])
-        ).cast("int")
+    rows = rows.withColumn("sure", F.filter("more", _numbered))
 
     return rows.select(
         "doc_id",
         F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["begin"].alias("begin"), s["end"].alias("end"))).alias("base"),
-        F.transform("more", lambda s: _featured(text, s).withField("confirmed", confirmed(s))).alias("proposed"),
+        F.transform("more", lambda s: _featured(text, s).withField("evident", _evident(text, s, "sure").cast("int"))).alias("proposed"),
     )
 
 
 class Trees:
-    """Boosted trees of two splits over (features, confirmed, n) counts; logistic loss."""
+    """Boosted trees of two splits over (features, evident, n) counts; logistic loss."""
 
     def __init__(self, rows: list[tuple[tuple[int, ...], int, int]]):
         self.names = ("kind", *FEATURES)
-        confirmed = sum(r[1] for r in rows)
+        evident = sum(r[1] for r in rows)
         n = sum(r[2] for r in rows)
-        self.prior = math.log((confirmed + 0.5) / (n - confirmed + 0.5))
+        self.prior = math.log((evident + 0.5) / (n - evident + 0.5))
         scores = [self.prior] * len(rows)
         self.trees = []
         for _ in range(TREES if rows else 0):
@@ -207,11 +243,11 @@ class Trees:
 
     @staticmethod
     def _threshold(scored) -> float:
-        """The lowest score at which PRECISION of the proposals at or above it are confirmed."""
+        """The lowest score at which PRECISION of the proposals at or above it carry evidence."""
         found, yes, n = math.inf, 0, 0
         scored = sorted(scored, reverse=True)
-        for i, (score, confirmed, of) in enumerate(scored):
-            yes, n = yes + confirmed, n + of
+        for i, (score, evident, of) in enumerate(scored):
+            yes, n = yes + evident, n + of
             if (i + 1 == len(scored) or scored[i + 1][0] < score) and yes >= PRECISION * n:
                 found = score - 1e-9
         return found
@@ -239,7 +275,7 @@ def fit(found: DataFrame) -> Trees:
     names = ["kind", *FEATURES]
     counts = (
         found.select(F.explode("proposed").alias("p")).select("p.*").groupBy(*names)
-        .agg(F.sum("confirmed").alias("yes"), F.count(F.lit(1)).alias("of")).orderBy(*names)
+        .agg(F.sum("evident").alias("yes"), F.count(F.lit(1)).alias("of")).orderBy(*names)
     )
     return Trees([(tuple(r[n] for n in names), r.yes, r.of) for r in counts.collect()])
 

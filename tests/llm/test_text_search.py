@@ -70,5 +70,20 @@ def test_the_method_adds_a_number_that_the_base_drops(spark):
     assert base_spans(glued[1]) == ["ip:23:33"] and "phone:8:22" in spans[9999]
 
 
+def test_what_only_the_method_finds_may_be_frequent(spark):
+    """Neighbouring cards and phones without a country code, at half of all numbers and with no base span at all."""
+    two = "4111 1111 1111 1111 5500 0000 0000 0004"
+    rare = [(i, f"paid {two} ok" if i % 2 else "paid 4111 1111 1111 1111 ok") for i in range(60)]
+    rare += [(100 + i, f"phone (017) 555-{1000 + i} or 212-555-{2000 + i}" if i % 2 else f"phone +1 (017) 555-{1000 + i}") for i in range(60)]
+    rare += [(200 + i, f"at 10.200.30.{i} and 123.456.78.{i}") for i in range(50)]
+    for rows in (rare, [r for r in rare if r[0] % 2 and r[0] < 200]):
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+        found = pii.personal_data(frame).select("doc_id", pii._listed("spans").alias("spans"))
+        spans = {r.doc_id: r.spans for r in found.collect()}
+        assert {spans[i] for i, _ in rows if i < 100 and i % 2} == {"card:5:24,card:25:44"}
+        assert {spans[i] for i, _ in rows if 100 < i < 200 and i % 2} == {"phone:6:20,phone:24:36"}
+        assert all(spans[i] == f"ip:3:{len(t.split()[1]) + 3}" for i, t in rows if i >= 200)
+
+
 def test_personal_data_of_nothing(no_docs):
     assert pii.personal_data(no_docs).count() == 0
