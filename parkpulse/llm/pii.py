@@ -7,7 +7,7 @@ by format and by the characters around. They learn, over all documents, which pr
 (`_evident`): checksum, part ranges, shape of a domain, separators, cue words. Base spans are no
 part of it, so what only the method finds is no error, however much of it there is. Per kind the threshold
 is the lowest score at which PRECISION of the proposals at or above it carry evidence. A proposal
-above it is added unless it overlaps a base span or a better proposal.
+above it is added, best first, unless it overlaps a base span or one added before it.
 
 Each text is read once; it and its spans stay in one row, so nothing is shuffled but the counts of
 distinct feature values, on which the driver fits the trees. By their ranges there are under 400,000
@@ -280,6 +280,22 @@ def fit(found: DataFrame) -> Trees:
     return Trees([(tuple(r[n] for n in names), r.yes, r.of) for r in counts.collect()])
 
 
+def apart(spans: str) -> Column:
+    """Of spans with scores those that overlap nothing better that stays: best first, the longer of equals."""
+    ranked = F.sort_array(
+        F.transform(
+            spans,
+            lambda s: F.struct(
+                (-s["score"]).alias("cost"), (s["begin"] - s["end"]).alias("size"), s["begin"].alias("begin"), s["kind"].alias("kind"), s["end"].alias("end")
+            ),
+        )
+    )
+    none = F.filter(ranked, lambda s: F.lit(False))
+    return F.aggregate(
+        ranked, none, lambda kept, s: F.when(F.exists(kept, lambda t: _overlap(s, t)), kept).otherwise(F.concat(kept, F.array(s)))
+    )
+
+
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, base, spans: arrays of (kind, begin, end) in order of kind, then begin."""
     found = written(proposals(docs))
@@ -288,13 +304,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     scored = F.transform("proposed", lambda s: place(s).withField("score", trees.score(s)))
     fine = F.filter("scored", lambda s: trees.enough(s) & ~F.exists("base", lambda b: _overlap(b, s)))
 
-    def rank(s):
-        return F.struct((-s["score"]).alias("a"), (s["begin"] - s["end"]).alias("b"), s["begin"].alias("c"), s["kind"].alias("d"))
-
-    def better(x, y):
-        return rank(x) < rank(y)
-
-    alone = F.filter("fine", lambda s: ~F.exists("fine", lambda t: _overlap(s, t) & better(t, s)))
+    alone = apart("fine")
     return (
         found.select("doc_id", "base", scored.alias("scored"))
         .select("doc_id", "base", fine.alias("fine"))

@@ -85,5 +85,12 @@ def test_what_only_the_method_finds_may_be_frequent(spark):
         assert all(spans[i] == f"ip:3:{len(t.split()[1]) + 3}" for i, t in rows if i >= 200)
 
 
+def test_a_span_stays_if_only_a_dropped_one_overlaps_it(spark):
+    spans = [(3, 20, 30, 0.1), (3, 10, 22, 0.2), (3, 0, 12, 0.3), (2, 40, 50, 0.2), (3, 40, 50, 0.2), (3, 41, 60, 0.2)]
+    frame = spark.createDataFrame([(spans,), ([],)], "fine array<struct<kind:int,begin:int,end:int,score:double>>")
+    got = [[(s.kind, s.begin, s.end) for s in r.kept] for r in frame.select(pii.apart("fine").alias("kept")).collect()]
+    assert got == [[(3, 0, 12), (3, 41, 60), (3, 20, 30)], []]
+
+
 def test_personal_data_of_nothing(no_docs):
     assert pii.personal_data(no_docs).count() == 0
