@@ -13,7 +13,8 @@ window is SPAN consecutive words of an item; an item of fewer words, but not non
    partition of a passage that very many documents share.
 
 Null text has no words. Repeated rows are handled one by one. Items without words match nothing;
-items that repeat a window count once per item_id. Other columns are ignored. An empty benchmark
+items that repeat a window count once per item_id; an item without item_id makes hits like any other
+but is not among the items of a document. Other columns are ignored. An empty benchmark
 leaves every document clean.
 """
 
@@ -59,7 +60,7 @@ def item_windows(benchmark: DataFrame, span: int = SPAN, k: int = K) -> DataFram
             for i, item_id in enumerate(batch.column(0).to_pylist()):
                 hashes, begins, ends, _ = words(raw, at[i : i + 2], ALNUM)
                 n = len(hashes)
-                if n == 0 or item_id is None:
+                if n == 0:
                     continue
                 size = min(n, span)
                 data = raw[at[i] : at[i + 1]].tobytes().lower()

@@ -31,6 +31,15 @@ def test_contamination_of_nothing(spark, docs, no_docs, corpus):
     assert decontaminate(no_docs, nothing).count() == 0
 
 
+def test_items_without_item_id_contaminate(spark):
+    passage = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "x " + passage), (2, "short one here"), (3, "clean")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, passage), (None, "one here"), ("a", passage)], "item_id string, text string")
+    for some, n_items in ((items, 1), (items.where("item_id IS NULL"), 0)):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate(docs, some).collect()}
+        assert got == {1: (20, n_items, True), 2: (2, 0, True), 3: (0, 0, False)}
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(0, 9), min_size=8, max_size=60), st.integers(0, 40), st.integers(0, 9))
 def test_winnowing_never_misses_a_shared_run(values, at, other):
