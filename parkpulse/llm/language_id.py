@@ -164,14 +164,19 @@ def predict(docs: DataFrame, langs: list[str], probabilities: np.ndarray) -> Dat
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, unchanged, whose text has a language."""
+    """The rows of `docs`, unchanged, whose text has a language; if none could be learnt, a letter."""
     langs, probabilities = fit(training(docs))
     sent = docs.sparkSession.sparkContext.broadcast((langs, probabilities))
 
     def run(batches):
         for batch in batches:
-            named, _, _ = _batch_mixtures(batch.column(batch.schema.get_field_index("text")), *sent.value)
-            yield batch.filter(pa.array([x != UNKNOWN for x in named], pa.bool_()))
+            column = batch.column(batch.schema.get_field_index("text"))
+            if sent.value[0]:
+                named, _, _ = _batch_mixtures(column, *sent.value)
+                keep = [x != UNKNOWN for x in named]
+            else:
+                keep = [bool(_LETTER.search(x or "")) for x in column.to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

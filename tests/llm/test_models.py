@@ -44,6 +44,12 @@ def test_texts_without_letters_and_without_training(spark, documents, no_docs):
     assert L.with_language(no_docs).columns == no_docs.columns
 
 
+def test_unlabelled_documents_stay(spark):
+    rows = [(1, "plain words", None), (2, "漢字", None), (3, "12 !?", None), (4, None, None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in L.with_language(docs).collect()) == [1, 2]
+
+
 # ---- scoring
 
 EDGE = b"\xff"
