@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 from llm_helpers import components, contamination, sha
+from pyspark.sql import functions as F
 
 from parkpulse.llm import catalog
 from parkpulse.llm.merge_replay import read_ranks
@@ -55,6 +56,18 @@ def test_stages_keep_the_columns_and_one_of_repeated_rows(spark, sf, documents):
     assert len(ids) == len(set(ids))
 
 
+def test_rows_without_or_with_one_doc_id_go_for_their_own_text(spark, sf):
+    text = lambda n: " ".join(f"plain{n}x{j}" for j in range(40))
+    passage = next(r.text for r in read_table(spark, sf, "benchmark").collect() if len(r.text.split()) > 20)
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3) + " end"), (None, passage)]
+    rows += [(7, text(3)), (7, text(4)), (7, text(5)), (8, text(5)), (9, text(6)), (6, text(6) + " end"), (7, passage + " x")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id bigint, text string, Row_Key string").withColumn("lang", F.lit("en")).repartition(3)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+    want = [(None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (7, text(5)), (6, text(6) + " end")]
+    assert sorted(((r.doc_id, r.text) for r in docs.collect()), key=str) == sorted(want, key=str)
+
+
 def test_stages_of_nothing(spark, sf, no_docs):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, sf).count() == 0, name
