@@ -7,8 +7,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from parkpulse.session import local_session  # noqa: E402
 
-TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
-
 
 @pytest.fixture(scope="session")
 def spark():

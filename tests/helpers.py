@@ -1,7 +1,10 @@
-"""Hand-written messages."""
+"""Hand-written messages, and where the tables are."""
+
+import os
 
 from parkpulse.functions import vocabulary as V
 
+TESTDATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
 RAW_SCHEMA = "row_id bigint, sensor string, payload string, send_ts string"
 
 

@@ -1,8 +1,7 @@
 """One dominant sensor, copies and slices: same answers, and no task that holds a whole sensor."""
 
 import pytest
-from conftest import TESTDATA
-from helpers import RAW_SCHEMA, park, payload, raw_messages, rows
+from helpers import RAW_SCHEMA, TESTDATA, park, payload, raw_messages, rows
 from pyspark.sql import functions as F
 
 from parkpulse.functions import vocabulary as V

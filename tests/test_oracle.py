@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import TESTDATA
+from helpers import TESTDATA
 
 import __spark_entry__
 from parkpulse.plans.catalog import catalog as queries

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import TESTDATA
+from helpers import TESTDATA
 from pyspark.sql import functions as F
 
 from parkpulse.operators import occupancy as O

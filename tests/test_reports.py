@@ -1,7 +1,7 @@
 """Calendars, rounding, top lists, peaks, summaries and group statistics."""
 
 import pytest
-from conftest import TESTDATA
+from helpers import TESTDATA
 from pyspark.sql import functions as F
 from test_occupancy import stays_of
 

@@ -3,8 +3,7 @@
 import zipfile
 
 import pytest
-from conftest import TESTDATA
-from helpers import RAW_SCHEMA, depart, park, payload, raw_messages, rows
+from helpers import RAW_SCHEMA, TESTDATA, depart, park, payload, raw_messages, rows
 from pyspark.sql import functions as F
 
 from parkpulse.functions import vocabulary as V
