@@ -1,10 +1,7 @@
 import os
-import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(__file__))
-
 SF = os.path.join(os.environ.get("TESTDATA_DIR", "/root/testdata"), "sf0.001")
 DOCS = "doc_id bigint, text string"
 
