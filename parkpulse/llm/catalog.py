@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from parkpulse.llm import bpe, chat, decontaminate, exact_dedup, jaccard_join, language_id, lm_scoring, pii, token_files, warc
+from parkpulse.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    lm_scoring,
+    pii,
+    prefix_trie,
+    resampling,
+    token_counts,
+    token_files,
+    warc,
+)
 
 
 def queries() -> dict:
@@ -17,8 +31,17 @@ def queries() -> dict:
         "op8_lm_scoring": lm_scoring.op8_lm_scoring,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+        "op11_token_counts": token_counts.op11_token_counts,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_target_resampling": resampling.op13_target_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op2_chat": chat.SQL, "op9_exact_dedup": exact_dedup.SQL}
+    return {
+        "op1_warc": warc.SQL,
+        "op2_chat": chat.SQL,
+        "op9_exact_dedup": exact_dedup.SQL,
+        "op12_prefix_trie": prefix_trie.SQL,
+        "op13_target_resampling": resampling.SQL,
+    }
