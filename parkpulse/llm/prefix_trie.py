@@ -401,7 +401,7 @@ WITH turns AS (
 ), marked AS (
     SELECT *, (SELECT count(*) FROM linked c WHERE c.parent = l.node AND c.depth = l.depth + 1) AS n_children FROM linked l
 ), sums AS (
-    SELECT m.depth, m.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars) AS saved_tokens
+    SELECT m.depth, m.node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n.chars) AS saved_tokens
     FROM marked n JOIN member m ON m.conv_id = n.node AND m.depth <= n.depth GROUP BY ALL
 )
 SELECT node AS conv_id, depth, parent AS parent_conv_id, n_convs, n_children, n_leaves,
