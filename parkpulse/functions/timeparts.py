@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from parkpulse.functions import vocabulary as V
 
+EPOCH = "1970-01-01"
+
 
 def hour_floor(ts: Column) -> Column:
     """Start of the clock hour. `date_trunc` would return TIMESTAMP and use the session zone."""
@@ -25,17 +27,34 @@ def seconds_into_hour(ts: Column) -> Column:
 def whole_seconds(start: Column, end: Column) -> Column:
     """Seconds between two times. `timestampdiff` would convert to the session zone first."""
     days = F.date_diff(end, start).cast("bigint") * 86_400
-    return days + _second_of_day(end) - _second_of_day(start)
+    return days + second_of_day(end) - second_of_day(start)
 
 
 def whole_hours(start: Column, end: Column) -> Column:
     return F.call_function("div", whole_seconds(start, end), F.lit(3600))
 
 
-def _second_of_day(ts: Column) -> Column:
+def second_of_day(ts: Column) -> Column:
     return F.hour(ts).cast("bigint") * 3600 + seconds_into_hour(ts)
 
 
+def hour_number(ts: Column) -> Column:
+    """Whole hours since the epoch."""
+    return F.date_diff(ts, F.lit(EPOCH).cast("date")).cast("bigint") * 24 + F.hour(ts)
+
+
+def hour_start(number: Column) -> Column:
+    """The time at which an hour by `hour_number` begins."""
+    return F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), number.cast("int"))
+
+
+def inside_cycle(until: Column, cycle: int, start: Column, length: int) -> Column:
+    """How much of [0, until) lies in [start, start + length) of each cycle: whole cycles, and the rest."""
+    whole = F.call_function("div", until, F.lit(cycle)) * length
+    rest = F.greatest(F.lit(0), F.pmod(until, F.lit(cycle)) - start)
+    return whole + F.least(F.lit(length), rest)
+
+
 def weekday_name(weekday: Column) -> Column:
     return F.get(F.array(*[F.lit(n) for n in V.WEEKDAY_NAMES]), weekday)
 

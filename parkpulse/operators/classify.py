@@ -17,9 +17,12 @@ def base_code(action: Column) -> Column:
     )
 
 
-def classify_guarded(messages: DataFrame, post_report: bool = False) -> DataFrame:
+def classify_guarded(
+    messages: DataFrame, post_report: bool = False, keep_next: bool = False
+) -> DataFrame:
     """Sequence checks apply to messages that are normal by their action; a month change
-    between neighbours overrides every base code. `post_report` adds code 4."""
+    between neighbours overrides every base code. `post_report` adds code 4. `keep_next` keeps the
+    struct `next` of the following message."""
     based = messages.withColumn("base", base_code(F.col("action")))
     both = with_neighbours(based, ("ts", "detector", "base"))
     normal = F.col("base") == V.OK
@@ -38,7 +41,8 @@ def classify_guarded(messages: DataFrame, post_report: bool = False) -> DataFram
     code = F.when(sequence, V.SEQUENCE_ERROR).otherwise(F.col("base"))
     if post_report:
         code = F.when(F.col("prev.base") == V.REPORT, V.AFTER_REPORT).otherwise(code)
-    return both.withColumn("status_code", code).drop("base", "prev", "next")
+    coded = both.withColumn("status_code", code)
+    return coded.drop("base", "prev") if keep_next else coded.drop("base", "prev", "next")
 
 
 def classify_precedence(messages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parkpulse.functions import vocabulary as V
 from parkpulse.functions.timeparts import day_night, day_type, weekday_name, whole_seconds
-from parkpulse.operators.neighbours import SLICE, with_neighbours
+from parkpulse.operators.neighbours import GHOST, SLICE, with_neighbours
 from parkpulse.operators.parse import site_of
 
 
@@ -19,15 +19,27 @@ def pair_stays(coded: DataFrame, require_departure: bool = False) -> DataFrame:
     With guarded codes the next normal message after an arrival is always a departure. With
     precedence codes it may be another arrival; `require_departure` drops those.
     """
-    kept = ["row_id", "sensor", "ts", "detector"] + [c for c in coded.columns if c == SLICE]
-    normal = coded.where(F.col("status_code") == V.OK).select(*kept)
+    kept = ["row_id", "sensor", "ts", "detector"] + [c for c in coded.columns if c in (SLICE, GHOST)]
+    normal = coded.where((F.col("status_code") == V.OK) & F.col("sensor").isNotNull()).select(*kept)
     paired = with_neighbours(normal, ("ts", "detector")).where(
-        F.col("detector").isin(V.PARK, V.PARK_SHORT)
-        & F.col("sensor").isNotNull()
-        & F.col("next.ts").isNotNull()
+        F.col("detector").isin(V.PARK, V.PARK_SHORT) & F.col("next.ts").isNotNull()
     )
     if require_departure:
         paired = paired.where(F.col("next.detector").isin(V.DEPART, V.DEPART_SHORT))
+    return _stays(paired)
+
+
+def adjacent_stays(coded: DataFrame) -> DataFrame:
+    """The stays of guarded codes that kept the `next` message, without looking for it again.
+
+    What makes an arrival normal there - a next message that is normal by its action, in the same
+    month, and no arrival - leaves that message normal too, so it is the next normal one.
+    """
+    arrival = (F.col("status_code") == V.OK) & (F.col("detector") == V.PARK)
+    return _stays(coded.where(arrival & F.col("next.ts").isNotNull()))
+
+
+def _stays(paired: DataFrame) -> DataFrame:
     return paired.select(
         "sensor",
         site_of(F.col("sensor")).alias("site"),

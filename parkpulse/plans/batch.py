@@ -13,22 +13,12 @@ from parkpulse.operators import groupstats as G
 from parkpulse.operators import occupancy as O
 from parkpulse.operators import reports as R
 from parkpulse.operators.classify import classify_guarded
-from parkpulse.operators.neighbours import (
-    SENSOR_ROW_LIMIT,
-    SLICE,
-    hot_sensors,
-    slice_hot_sensors,
-)
+from parkpulse.operators.neighbours import SLICE, SLICE_ROWS, sliced
 from parkpulse.operators.stays import enrich_stays, pair_stays
 from parkpulse.plans.pipeline import guarded_messages
 from parkpulse.sources.sinks import write_table
 
 
-def _sliced(messages: DataFrame, row_limit: int) -> DataFrame:
-    hot = hot_sensors(messages, row_limit)
-    return messages if hot is None else slice_hot_sensors(messages, hot, row_limit)
-
-
 def run_batch(
     raw: DataFrame,
     out: str,
@@ -36,7 +26,7 @@ def run_batch(
     sites: Sequence[str] = (),
     mode: str = "error",
     holidays: Sequence[str] = V.HOLIDAYS,
-    row_limit: int = SENSOR_ROW_LIMIT,
+    slice_rows: int = SLICE_ROWS,
 ) -> None:
     """Write messages, codes, stays, occupancy and all reports below `out`.
 
@@ -54,9 +44,9 @@ def run_batch(
     def report(df: DataFrame, name: str) -> None:
         write_table(df, f"{out}/{name}", fmt="csv", mode=mode)
 
-    messages = keep(guarded_messages(raw, "full", row_limit), "messages")
+    messages = keep(guarded_messages(raw, "full", slice_rows), "messages")
     coded = keep(
-        classify_guarded(_sliced(messages, row_limit), post_report=True).select(
+        classify_guarded(sliced(messages, slice_rows), post_report=True).select(
             "row_id", "sensor", "detector", "action", "ts", "status_code"
         ),
         "coded_messages",
@@ -70,7 +60,7 @@ def run_batch(
         report(E.error_rate_wide(coded, sites, selected), "error_rates_wide")
 
     normal = coded.where(F.col("status_code") == V.OK)
-    stays = enrich_stays(pair_stays(_sliced(normal, row_limit)), holidays)
+    stays = enrich_stays(pair_stays(sliced(normal, slice_rows)), holidays)
     stays = keep(stays.withColumn("in_date", F.to_date("in_ts")), "stays", by="in_date")
     report(R.stay_summary(stays), "stay_summary")
 

@@ -71,7 +71,14 @@ def _in(part: str) -> Column:
 
 
 def _observed(raw: DataFrame, part: str, group: str | None = None, days=None) -> DataFrame:
-    return O.observed_mean(P.guarded_cells(raw), part, group, days)
+    return O.observed_mean(P.guarded_runs(raw), part, group, days)
+
+
+def _observed_beside_all(raw: DataFrame, part: str, group: str) -> DataFrame:
+    """Means per group, and the mean of the means over all sensors, from the same sums."""
+    sums = O.observed_sums(P.guarded_runs(raw), part, group)
+    overall = O.mean_of_sums(O.together(sums), part)
+    return O.mean_of_sums(sums, part, group).withColumn("reference", R.mean_value(overall, "occupancy_pct"))
 
 
 def _sparse(raw: DataFrame, period: str) -> DataFrame:
@@ -191,10 +198,10 @@ def catalog() -> dict[str, Query]:
         "stays_v1": _raw(lambda raw: _stay_table(P.guarded_stays(raw))),
         "stays_v2": _raw(lambda raw: _stay_table(P.precedence_stays(raw))),
         "stays_v1_cut": _raw(
-            lambda raw: _stay_table(P.guarded_stays(_dominated(raw), row_limit=HOT_ROWS))
+            lambda raw: _stay_table(P.guarded_stays(_dominated(raw), slice_rows=HOT_ROWS))
         ),
         "stays_v2_cut": _raw(
-            lambda raw: _stay_table(P.precedence_stays(_dominated(raw), row_limit=HOT_ROWS))
+            lambda raw: _stay_table(P.precedence_stays(_dominated(raw), slice_rows=HOT_ROWS))
         ),
         "stays_v2_departures": _raw(
             lambda raw: _stay_table(P.precedence_stays(raw, require_departure=True))
@@ -282,9 +289,7 @@ def catalog() -> dict[str, Query]:
         ),
         "occupancy_by_hour_in_range": _raw(lambda raw: _observed(raw, "hour", days=DAYS)),
         "occupancy_by_site_hour": _raw(
-            lambda raw: _observed(raw, "hour", "site").withColumn(
-                "reference", R.mean_value(_observed(raw, "hour"), "occupancy_pct")
-            )
+            lambda raw: _observed_beside_all(raw, "hour", "site")
         ),
         "occupancy_heatmap": _raw(
             lambda raw: _observed(raw, "hour", "sensor").select(

@@ -11,77 +11,70 @@ from pyspark.sql import DataFrame
 
 from parkpulse.operators.classify import classify_guarded, classify_precedence
 from parkpulse.operators.neighbours import (
-    SENSOR_ROW_LIMIT,
     SLICE,
-    hot_sensors,
-    slice_hot_sensors,
+    SLICE_ROWS,
+    cutting,
+    placed,
+    without_ghosts,
+    without_later_copies,
 )
-from parkpulse.operators.occupancy import hourly_occupancy
+from parkpulse.operators.occupancy import hour_runs, hourly_occupancy
 from parkpulse.operators.parse import (
     drop_duplicates,
     parse_guarded,
     parse_precedence,
     with_names,
 )
-from parkpulse.operators.stays import pair_stays
+from parkpulse.operators.stays import adjacent_stays, pair_stays
 
 
-def guarded_messages(
-    raw: DataFrame, style: str = "short", row_limit: int = SENSOR_ROW_LIMIT
-) -> DataFrame:
+def guarded_messages(raw: DataFrame, style: str = "short", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Parsed, complete, distinct messages."""
-    return _placed_messages(raw, style, row_limit).drop(SLICE)
+    return without_ghosts(_placed_messages(raw, style, slice_rows)).drop(SLICE)
 
 
-def _placed_messages(raw: DataFrame, style: str, row_limit: int) -> DataFrame:
-    """Parsed, complete, distinct messages, placed for the windows that follow; with the slice of
-    each where sensors are cut.
+def _placed_messages(raw: DataFrame, style: str, slice_rows: int) -> DataFrame:
+    """Parsed, complete, distinct messages, placed by sensor and slice for the windows that follow.
 
-    The messages are shuffled once, by sensor, and copies are dropped in place. Copies of a hot
-    sensor are dropped before, by a pre-aggregated shuffle, since one message may fill a task.
+    The messages are shuffled once, and copies are dropped in place.
     """
     named = with_names(raw, style)
-    parsed = parse_guarded(named)
-    hot = hot_sensors(named, row_limit)
-    if hot is None:
-        return drop_duplicates(parsed.repartition("sensor"))
-    sliced = slice_hot_sensors(parsed, hot, row_limit, prepare=drop_duplicates)
-    return drop_duplicates(sliced.repartition("sensor", SLICE))
+    cut = cutting(named, slice_rows, copies=True)
+    parsed = parse_guarded(without_later_copies(named, cut))
+    return drop_duplicates(placed(parsed, cut, copies=True))
 
 
 def guarded(
     raw: DataFrame,
     style: str = "short",
     post_report: bool = False,
-    row_limit: int = SENSOR_ROW_LIMIT,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
-    return _guarded(raw, style, post_report, row_limit).drop(SLICE)
+    return _guarded(raw, style, post_report, slice_rows).drop(SLICE)
 
 
 def _guarded(
     raw: DataFrame,
     style: str = "short",
     post_report: bool = False,
-    row_limit: int = SENSOR_ROW_LIMIT,
+    slice_rows: int = SLICE_ROWS,
+    keep_next: bool = False,
 ) -> DataFrame:
-    return classify_guarded(_placed_messages(raw, style, row_limit), post_report)
+    return classify_guarded(_placed_messages(raw, style, slice_rows), post_report, keep_next)
 
 
-def precedence(raw: DataFrame, row_limit: int = SENSOR_ROW_LIMIT) -> DataFrame:
-    return _precedence(raw, row_limit).drop(SLICE)
+def precedence(raw: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    return _precedence(raw, slice_rows).drop(SLICE)
 
 
-def _precedence(raw: DataFrame, row_limit: int = SENSOR_ROW_LIMIT) -> DataFrame:
+def _precedence(raw: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     named = with_names(raw, "charclass")
-    parsed = parse_precedence(named)
-    hot = hot_sensors(named, row_limit)
-    if hot is not None:
-        parsed = slice_hot_sensors(parsed, hot, row_limit)
-    return classify_precedence(parsed)
+    cut = cutting(named.select("sensor", "ts", "row_id"), slice_rows)
+    return classify_precedence(placed(parse_precedence(named), cut))
 
 
 def guarded_stays(raw: DataFrame, **options) -> DataFrame:
-    return pair_stays(_guarded(raw, **options))
+    return adjacent_stays(_guarded(raw, keep_next=True, **options))
 
 
 def precedence_stays(raw: DataFrame, require_departure: bool = False, **options) -> DataFrame:
@@ -94,3 +87,7 @@ def guarded_cells(raw: DataFrame, **options) -> DataFrame:
 
 def precedence_cells(raw: DataFrame, **options) -> DataFrame:
     return hourly_occupancy(precedence_stays(raw, **options))
+
+
+def guarded_runs(raw: DataFrame, **options) -> DataFrame:
+    return hour_runs(guarded_stays(raw, **options))

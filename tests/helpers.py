@@ -39,3 +39,27 @@ def codes(coded):
 def rows(df):
     columns = sorted(df.columns)
     return sorted(map(tuple, df.select(*columns).collect()), key=str)
+
+
+def plan_nodes(df, subqueries=False):
+    """(name, description) of the nodes of a physical plan, as it ran if it has; what is reused counts once."""
+    out, seen = [], set()
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind.startswith("Reused"):
+            return
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(plan.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            if plan.id() in seen:
+                return None
+            return walk(plan.plan())
+        out.append((plan.nodeName(), plan.simpleString(2000)))
+        inner = plan.subqueries() if subqueries else None
+        for children in (plan.children(), inner):
+            for i in range(children.size() if children else 0):
+                walk(children.apply(i))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return out

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from helpers import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,6 +73,43 @@ def test_expansion_properties(spark, spans):
         assert got[name].low >= 0 and got[name].high <= 3600
 
 
+@settings(max_examples=6, deadline=None,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(instant, st.integers(0, 300_000), st.integers(0, 2)), min_size=1, max_size=30))
+def test_runs_of_overlapping_stays_are_the_sums_of_their_hours(spark, spans):
+    data = [(f"대신#{s:02d}", "대신", a, a + timedelta(seconds=d), d) for a, d, s in spans]
+    stays = spark.createDataFrame(data, STAY_SCHEMA)
+    hours = O.stay_hours(stays).groupBy("sensor", "hour").agg(F.sum("occupied_sec").alias("occupied_sec"))
+    cells = O.hourly_occupancy(stays)
+    assert rows(cells.select("sensor", "hour", "occupied_sec")) == rows(hours)
+    days = ("2022-01-12", "2022-01-20")
+    inside = cells.where((F.to_date("hour") >= days[0]) & (F.to_date("hour") <= days[1]))
+    assert rows(O.cells_in_days(stays, *days)) == rows(inside)
+    runs = O.hour_runs(stays)
+    assert runs.count() <= 4 * len(spans)
+    for part in ("hour", "weekday"):
+        for group in (None, "sensor"):
+            for d in (None, days):
+                assert rows(O.observed_mean(runs, part, group, d)) == rows(O.observed_mean(cells, part, group, d))
+    by_hour = hours.groupBy("sensor", F.hour("hour").alias("hour")).agg(F.sum("occupied_sec").alias("occupied_sec"))
+    closed = O.seconds_by_hour_of_day(stays).groupBy("sensor", "hour").agg(F.sum("occupied_sec").alias("occupied_sec"))
+    assert rows(closed.where("occupied_sec > 0")) == rows(by_hour.where("occupied_sec > 0"))
+
+
+def test_a_stay_of_ten_years_costs_as_much_as_a_short_one(spark):
+    stays = stays_of(spark, ("2012-03-01 10:30:00", "2022-03-01 11:15:00"), ("2012-03-05 10:00:00", "2012-03-05 10:20:00", "옥천#02"))
+    runs = O.hour_runs(stays)
+    assert sorted((r.sensor, r.hours, r.occupied_sec) for r in runs.collect()) == [
+        ("대신#01", 1, 900), ("대신#01", 1, 1800), ("대신#01", 3652 * 24, 3600), ("옥천#02", 1, 1200),
+    ]
+    assert O.seconds_by_hour_of_day(stays).count() == 24 + 1
+    by_hour = {r.hour: r.occupied_sec for r in O.seconds_by_hour_of_day(stays.where("sensor = '대신#01'")).collect()}
+    assert by_hour[9] == 3652 * 3600 and by_hour[10] == 3652 * 3600 + 1800 and by_hour[11] == 3652 * 3600 + 900
+    means = by(O.observed_mean(runs, "hour"), "hour")
+    assert means[9] == 50.0 and len(means) == 24
+    assert by(O.observed_mean(runs, "weekday"), "weekday")[0] == 50.0
+
+
 def test_zone_does_not_matter(spark):
     stays = stays_of(spark, ("2022-03-13 01:30:00", "2022-03-13 03:30:00"))
     expected = hours_of(O.hourly_occupancy(stays))

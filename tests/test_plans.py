@@ -3,11 +3,11 @@
 import re
 
 import pytest
-from helpers import TESTDATA
+from helpers import TESTDATA, plan_nodes
 from pyspark.sql import functions as F
 
+from parkpulse.operators import neighbours as N
 from parkpulse.operators import occupancy as O
-from parkpulse.operators.neighbours import hot_sensors
 from parkpulse.plans import pipeline as P
 from parkpulse.plans.catalog import catalog
 from parkpulse.sources.events import messages_from_events
@@ -16,11 +16,17 @@ SF = f"{TESTDATA}/sf0.001"
 
 
 def plan_of(df):
-    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    """The plan without its scalars, which are read before it runs."""
+    return "\n".join(description for _, description in plan_nodes(df))
 
 
 def exchanges(df):
-    return re.findall(r"(?<!Reused)Exchange (\w+)", plan_of(df))
+    return [re.search(r"Exchange (\w+)", d)[1] for name, d in plan_nodes(df) if name == "Exchange"]
+
+
+def count_of(df, kind):
+    df.collect()
+    return sum(name == kind for name, _ in plan_nodes(df, subqueries=True))
 
 
 @pytest.fixture(scope="module")
@@ -28,11 +34,19 @@ def raw(spark):
     return messages_from_events(spark, SF)
 
 
-@pytest.mark.parametrize("cells", [P.guarded_cells, P.precedence_cells])
-def test_one_shuffle_from_messages_to_cells(raw, cells):
-    df = cells(raw)
+@pytest.mark.parametrize("stays,windows", [(P.guarded_stays, 1), (P.precedence_stays, 2)])
+def test_one_shuffle_from_messages_to_stays(raw, stays, windows):
+    df = stays(raw)
+    df.collect()
     assert exchanges(df) == ["hashpartitioning"]
-    assert plan_of(df).count("Sort [") == 1
+    assert [name for name, _ in plan_nodes(df)].count("Sort") == 1
+    assert [name for name, _ in plan_nodes(df)].count("Window") == windows
+
+
+def test_ends_of_stays_are_added_up_before_they_move(raw):
+    df = P.guarded_cells(raw)
+    assert exchanges(df) == ["hashpartitioning"] * 3
+    assert "partial_sum(opens" in plan_of(df)
 
 
 def test_site_report_adds_only_its_own_shuffle(raw):
@@ -40,10 +54,21 @@ def test_site_report_adds_only_its_own_shuffle(raw):
     assert exchanges(df) == ["hashpartitioning"] * 2
 
 
-def test_zero_filled_mean_reads_the_cells_once(raw):
-    df = O.observed_mean(P.guarded_cells(raw), "hour", "site")
-    assert plan_of(df).count("Scan parquet") == 1
-    assert "Join" not in plan_of(df)
+WITH_REFERENCE = {
+    "usage_by_hour": 2, "usage_by_site_hour": 1, "usage_by_weekday": 2, "usage_by_site_weekday": 1,
+    "dwell_by_hour": 2, "dwell_by_site_hour": 1, "dwell_by_weekday": 2,
+    "occupancy_by_hour": 4, "occupancy_by_weekday": 4, "occupancy_by_site_weekday": 3,
+    "occupancy_by_site_hour": 4,  # the calendar for each of the two means
+}
+
+
+@pytest.mark.parametrize("name", WITH_REFERENCE)
+def test_a_report_and_its_reference_run_the_pipeline_once(spark, name):
+    """One window finds neighbours; occupancy has one that sweeps a sensor and one that sweeps the
+    calendar; a mean over the few rows of a report has its own."""
+    df = catalog()[name](spark, SF)
+    assert count_of(df, "Window") == WITH_REFERENCE[name]
+    assert "reference" in df.columns
 
 
 @pytest.mark.parametrize("name", ["status_v1", "status_v2", "stays_v1", "occupancy_hourly",
@@ -52,11 +77,9 @@ def test_no_single_partition(spark, name):
     assert "SinglePartition" not in plan_of(catalog()[name](spark, SF))
 
 
-def test_heatmap_has_no_window_over_buckets(raw):
-    plan = plan_of(O.observed_mean(P.guarded_cells(raw), "hour", "sensor"))
-    windows = [line for line in plan.splitlines() if re.search(r"[+:-] \*?.*Window \[", line)]
-    assert windows and not any("bucket" in line for line in windows)
-    assert not re.search(r"hashpartitioning\(bucket#\d+, \d+\)(?!.*ENSURE)", plan)
+def test_heatmap_moves_no_sensors_to_one_task(raw):
+    plan = plan_of(O.observed_mean(P.guarded_runs(raw), "hour", "sensor"))
+    assert "SinglePartition" not in plan and "bucket" in plan
 
 
 @pytest.mark.parametrize("name", ["usage_by_site_weekday", "usage_by_site_hour", "dwell_by_site_hour"])
@@ -71,27 +94,18 @@ def test_no_cartesian_products(spark):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
 
 
-def test_hot_sensor_check_reads_one_column(spark, raw):
-    named = raw.select("sensor")
-    counts = named.groupBy("sensor").count()
-    assert "ReadSchema: struct<user_id:bigint>" in plan_of(counts)
-    assert hot_sensors(named) is None
+def test_the_sample_reads_few_columns(raw):
+    """Without copies to drop, places to cut are found without reading payloads."""
+    cut = N.cutting(raw.select("sensor", F.col("send_ts").cast("timestamp_ntz").alias("ts"), "row_id"))
+    df = raw.sparkSession.range(1).select(cut.alias("cut"))
+    scans = [d for name, d in plan_nodes(df, subqueries=True) if "parquet" in name]
+    assert len(scans) == 1 and "props" not in scans[0] and "event_id" in scans[0]
 
 
-def test_windows_over_slices_stay_partitioned(raw):
-    df = P.guarded_stays(raw, row_limit=40)
+@pytest.mark.parametrize("plan", [P.guarded_stays, P.precedence_stays])
+def test_windows_over_slices_stay_partitioned(raw, plan):
+    """Rows are windowed by sensor and slice; by sensor alone only the ends of slices."""
+    df = plan(raw, slice_rows=40)
     assert "SinglePartition" not in plan_of(df)
-    windows = [line for line in plan_of(df).splitlines() if re.search(r"[+:-] \*?.*Window \[", line)]
-    assert windows and all("slice" in line for line in windows)
-
-
-def test_ordinary_sensors_are_shuffled_once_beside_hot_ones(raw):
-    """Only hot sensors have a second exchange, on all message columns, to drop copies."""
-    plan = plan_of(P.guarded(raw, row_limit=70)).splitlines()
-    depth = [re.search(r"[A-Za-z*]", line).start() if line.strip() else 0 for line in plan]
-    assert any("Exchange hashpartitioning(sensor" in line and "slice" in line for line in plan)
-    for i, line in enumerate(plan):
-        if "Exchange" in line and "device_type" in line:
-            below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
-            under = " ".join(plan[i:below])
-            assert "LeftSemi" in under and "LeftAnti" not in under
+    windows = [d for name, d in plan_nodes(df) if name == "Window"]
+    assert windows and all("slice" in d for d in windows)

@@ -185,7 +185,7 @@ def test_batch_run(spark, tmp_path):
     chosen = ("대신졸음쉼터_#00003",)
     sites = ("대신", "영천", "옥천")
     run_batch(raw, str(tmp_path / "a"), chosen, sites)
-    run_batch(raw, str(tmp_path / "b"), chosen, row_limit=40)
+    run_batch(raw, str(tmp_path / "b"), chosen, slice_rows=40)
     with pytest.raises(Exception, match="already exists"):
         run_batch(raw, str(tmp_path / "a"))
     read = lambda run, name: spark.read.parquet(str(tmp_path / run / name))
