@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parkpulse.llm.shared import partitions, read_table, shared_folder, written
-from parkpulse.llm.wordhash import NOT_SPACE, other_hashes, slices, text_buffers, words
+from parkpulse.llm.wordhash import NOT_SPACE, slices, text_buffers
 
 END = 1
-BLOCK_BYTES = 2 << 20
-#: Distinct words remembered by a task between blocks.
-REMEMBER = 400_000
+BLOCK_BYTES = 4 << 20
+#: Distinct runs remembered by a worker between blocks.
+REMEMBER = 500_000
 
 LAYOUT = {
     "parquet.block.size": str(32 << 20),
@@ -53,72 +53,83 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    """One per worker, so that what it remembers outlives a task."""
+    return WordEncoder(_tokenizer(path))
+
+
 class WordEncoder:
     """Encodes blocks of texts, each distinct run of bytes once.
 
-    Runs end at ASCII white space, and between an ASCII letter or digit and one of the marks in
+    Runs begin with ASCII white space, and between an ASCII letter or digit and one of the marks in
     MARKS. For tokenizers that drop white space, take A-Z as a-z, split between letters or digits and
     such marks, and whose normaliser joins nothing across these places: then the ids of a text are
-    those of its runs in turn. Runs are known by 128 bits of hash. A block with the beginning of a
-    special token is encoded text by text instead.
+    those of its runs in turn. Runs are found and told apart by their bytes, in Arrow's hash table. A
+    block with the beginning of a special token is encoded text by text instead.
     """
 
     SPECIAL = b"<|"
     MARKS = b".,!?;:%&*#$"
+    _WORD, _MARK, _SPACE = 1, 2, 4
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.kind = np.zeros(256, np.int8)
-        self.kind[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
-        self.kind[list(self.MARKS)] = 2
+        self.kind[[*range(48, 58), *range(65, 91), *range(97, 123)]] = self._WORD
+        self.kind[list(self.MARKS)] = self._MARK
+        self.kind[~NOT_SPACE] = self._SPACE
+        # A-Z as a-z, all white space as one.
+        self.fold = np.arange(256, dtype=np.uint8)
+        self.fold[65:91] += 32
+        self.fold[~NOT_SPACE] = 0x20
         self._forget()
 
     def _forget(self) -> None:
-        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _learn(self, hashes, checks, texts: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, runs: list[bytes]) -> None:
+        self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs)), strict=True))
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.checks = np.concatenate([self.checks, checks])[order]
-        self.starts = np.concatenate([self.starts, starts])[order]
-        self.sizes = np.concatenate([self.sizes, sizes])[order]
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, flat])
 
+    def _runs(self, bytes_: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """(runs, number of the first run of each document)."""
+        kind = self.kind[bytes_]
+        now, before = kind[1:], kind[:-1]
+        begins = np.zeros(len(bytes_) + 1, bool)
+        begins[1:-1] = (now + before == self._WORD + self._MARK) & (now != before) & (now > 0) & (before > 0)
+        begins[1:-1] |= (now == self._SPACE) & (before != self._SPACE)
+        begins[edges] = True
+        at = np.flatnonzero(begins)
+        buffers = [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(self.fold[bytes_])]
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, buffers), np.searchsorted(at, edges)
+
     def ids(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets by document) of the documents between `at` in `raw`, each with its END."""
         bytes_ = raw[at[0] : at[-1]]
-        data = bytes_.tobytes()
-        if self.SPECIAL in data:
+        if self.SPECIAL in bytes_.tobytes():
             return self._whole(raw, at)
-        kind = self.kind[bytes_]
-        cut = np.zeros(len(kind), bool)
-        cut[1:] = kind[1:] + kind[:-1] == 3
-        cut[1:] &= (kind[1:] > 0) & (kind[:-1] > 0)
-        hashes, begins, ends, of = words(raw, at, NOT_SPACE, cut)
-        checks = other_hashes(raw, at, begins, ends)
-        if len(self.hashes) > REMEMBER:
+        if len(self.known) > REMEMBER:
             self._forget()
-        own, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hashes, own)
-        known = place < len(self.hashes)
-        known[known] = self.hashes[place[known]] == own[known]
-        new = first[~known]
-        if len(new):
-            spans = zip(begins[new].tolist(), ends[new].tolist(), strict=True)
-            self._learn(hashes[new], checks[new], [data[a:z].decode() for a, z in spans])
-        place = np.searchsorted(self.hashes, own)[which]
-        if (self.checks[place] != checks).any():
-            return self._whole(raw, at)
-        sizes, starts = self.sizes[place], self.starts[place]
+        array, first = self._runs(bytes_, at - at[0])
+        coded = array.dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        new = [run for run in own if run not in self.known]
+        if new:
+            self._learn(new)
+        place = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+        which = place[coded.indices.to_numpy()]
+        sizes = self.sizes[which]
         total = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(total[-1]) + np.repeat(starts - total[:-1], sizes)]
-        return np.insert(ids, total[of[1:]], END), total[of] + np.arange(len(of))
+        ids = self.flat[np.arange(total[-1]) + np.repeat(self.starts[which] - total[:-1], sizes)]
+        offsets = total[first]
+        return np.insert(ids, offsets[1:], END), offsets + np.arange(len(offsets))
 
     def _whole(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         texts = [raw[a:z].tobytes().decode() for a, z in zip(at.tolist(), at[1:].tolist(), strict=False)]
@@ -132,7 +143,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str, files: int | No
 
     def run(batches):
         part, total = TaskContext.get().partitionId(), 0
-        encoder = WordEncoder(_tokenizer(tokenizer_path))
+        encoder = _encoder(tokenizer_path)
         for batch in batches:
             raw, at = text_buffers(batch.column(1))
             for first, last in slices(at, BLOCK_BYTES):
