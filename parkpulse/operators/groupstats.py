@@ -1,4 +1,4 @@
-"""Group comparisons: one-way analysis of variance, its two-response form, pairwise ranges.
+"""Group comparisons: one-way analysis of variance, its form for several responses, pairwise ranges.
 
 The data is read once, into a count, means and centred products per group; everything after that
 works on one row per group. Sums of whole numbers and decimals are exact, so their means are; products
@@ -8,6 +8,10 @@ or a change of their unit, changes no test.
 
 from __future__ import annotations
 
+from math import isqrt
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, IntegralType
@@ -16,6 +20,8 @@ from parkpulse.functions.distributions import f_p_value, range_critical_value, r
 
 # Groups that one task compares with all others.
 PAIR_BLOCK = 256
+# A response is redundant if less than this share of its deviation is its own.
+SINGULAR = 1e-7
 
 
 def _mean(df: DataFrame, response: str) -> Column:
@@ -85,28 +91,101 @@ def anova(df: DataFrame, group: str, responses: tuple[str, ...]) -> DataFrame:
     )
 
 
-def manova(df: DataFrame, group: str, responses: tuple[str, str]) -> DataFrame:
-    """Two-response analysis of variance by Pillai's trace and its F approximation."""
-    row = _scatter(_moments(df, group, responses), 2)
-    row = row.withColumns({f"t_{x}": F.col(f"w_{x}") + F.col(f"h_{x}") for x in ("0_0", "0_1", "1_1")})
-    determinant = F.col("t_0_0") * F.col("t_1_1") - F.col("t_0_1") * F.col("t_0_1")
-    trace = (
-        F.col("h_0_0") * F.col("t_1_1")
-        - F.col("h_0_1") * F.col("t_0_1") * 2
-        + F.col("h_1_1") * F.col("t_0_0")
-    ) / determinant
-    between = (F.col("k") - 1).cast("double")
-    s = F.least(F.lit(2.0), between)
-    m = (F.abs(between - 2) - 1) / 2
-    n = ((F.col("n") - F.col("k")).cast("double") - 3) / 2
-    lower, upper = m * 2 + s + 1, n * 2 + s + 1
-    stats = row.select(
+@F.pandas_udf("array<double>")
+def _roots(between: pd.Series, total: pd.Series) -> pd.Series:
+    """Eigenvalues of total^-1 * between, largest first, for one pair of matrices a row.
+
+    Responses are brought to unit total scatter, then total = L * L' turns the problem into a
+    symmetric one. Null where the total scatter has no inverse: a constant or redundant response.
+    """
+    out = []
+    for h, t in zip(between, total):
+        p = isqrt(len(t))
+        h, t = np.reshape(h, (p, p)), np.reshape(t, (p, p))
+        unit = np.sqrt(np.diag(t))
+        if not np.all(unit > 0):
+            out.append(None)
+            continue
+        scale = np.outer(unit, unit)
+        try:
+            lower = np.linalg.cholesky(t / scale)
+        except np.linalg.LinAlgError:
+            out.append(None)
+            continue
+        if np.min(np.diag(lower)) < SINGULAR:
+            out.append(None)
+            continue
+        half = np.linalg.solve(lower, h / scale)
+        out.append(np.clip(np.linalg.eigvalsh(np.linalg.solve(lower, half.T))[::-1], 0.0, 1.0))
+    return pd.Series(out)
+
+
+def _matrix(name: str, responses: int) -> Column:
+    """The symmetric matrix whose upper half stands in columns, row by row."""
+    cells = [(min(i, j), max(i, j)) for i in range(responses) for j in range(responses)]
+    return F.array(*[F.col(f"{name}_{i}_{j}") for i, j in cells])
+
+
+def manova_tests(df: DataFrame, group: str, responses: tuple[str, ...]) -> DataFrame:
+    """The four usual tests of a one-way analysis of any number of responses, one row each.
+
+    Columns test, df_between, df_within, statistic, approx_f, num_df, den_df, p_value. All follow from
+    the roots r of total^-1 * between: Pillai's trace sum(r), Wilks' lambda prod(1 - r), the
+    Hotelling-Lawley trace sum(r / (1 - r)) and Roy's root max(r / (1 - r)); Roy's F is an upper bound.
+    Statistics are null where responses are constant or redundant, and the last two where a
+    response does not vary within groups. Rows with a null group or response are left out.
+    """
+    p = len(responses)
+    row = _scatter(_moments(df, group, responses), p)
+    row = row.withColumns(
+        {f"t_{i}_{j}": F.col(f"w_{i}_{j}") + F.col(f"h_{i}_{j}") for i in range(p) for j in range(i, p)}
+    )
+    q, within = (F.col("k") - 1).cast("double"), (F.col("n") - F.col("k")).cast("double")
+    row = row.select(
         (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"),
-        trace.alias("pillai"),
-        (upper / lower * trace / (s - trace)).alias("approx_f"),
-        (s * lower).alias("num_df"), (s * upper).alias("den_df"),
+        q.alias("q"), within.alias("e"), F.least(F.lit(float(p)), q).alias("s"),
+        ((F.abs(q - p) - 1) / 2).alias("m"), ((within - p - 1) / 2).alias("l"),
+        _roots(_matrix("h", p), _matrix("t", p)).alias("roots"),
+    )
+    q, e, s, m, n = (F.col(c) for c in ("q", "e", "s", "m", "l"))
+    # A group more or less than the responses leaves roots that are zero but for rounding; they add nothing.
+    one, zero = F.lit(1.0), F.lit(0.0)
+    odds = F.transform("roots", lambda r: r / F.nullif(1 - r, zero))
+    pillai = F.aggregate("roots", zero, lambda a, r: a + r)
+    wilks = F.aggregate("roots", one, lambda a, r: a * (1 - r))
+    hotelling = F.aggregate(odds, zero, lambda a, r: a + r)
+    roy = F.get(odds, F.lit(0))
+
+    def test(name: str, value: Column, f: Column, num: Column, den: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("test"), value.alias("statistic"), f.alias("approx_f"), num.alias("num_df"), den.alias("den_df")
+        )
+
+    low, high = m * 2 + s + 1, n * 2 + s + 1
+    squares = q * q + p * p - 5
+    t = F.when(squares > 0, F.sqrt((q * q * p * p - 4) / squares)).otherwise(one)
+    den = (e - (p - q + 1) / 2) * t - (q * p - 2) / 2
+    up = (s * n + 1) * 2
+    most = F.greatest(F.lit(float(p)), q)
+    tests = F.array(
+        test("pillai", pillai, high / low * pillai / F.nullif(s - pillai, zero), s * low, s * high),
+        test("wilks", wilks, (F.pow(F.nullif(wilks, zero), -1 / t) - 1) * den / (q * p), q * p, den),
+        test("hotelling_lawley", hotelling, up * hotelling / (s * s * low), s * low, up),
+        test("roy", roy, (e - most + q) * roy / most, most, e - most + q),
+    )
+    rows = row.where((q > 0) & (e > 0)).select("df_between", "df_within", F.inline(tests))
+    return rows.select("test", "df_between", "df_within", "statistic", "approx_f", "num_df", "den_df").withColumn(
+        "p_value", F.when(F.col("approx_f").isNotNull() & (F.col("den_df") > 0), f_p_value("approx_f", "num_df", "den_df"))
+    )
+
+
+def manova(df: DataFrame, group: str, responses: tuple[str, ...]) -> DataFrame:
+    """Analysis of variance of several responses by Pillai's trace and its F approximation."""
+    return (
+        manova_tests(df, group, responses)
+        .where(F.col("test") == "pillai")
+        .select("df_between", "df_within", F.col("statistic").alias("pillai"), "approx_f", "num_df", "den_df", "p_value")
     )
-    return stats.withColumn("p_value", f_p_value("approx_f", "num_df", "den_df"))
 
 
 def tukey(df: DataFrame, group: str, response: str, level: float = 0.95) -> DataFrame:

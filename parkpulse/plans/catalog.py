@@ -336,6 +336,12 @@ def catalog() -> dict[str, Query]:
                 pillai=9, approx_f=6, p_value=6,
             )
         ),
+        "manova_tests_dwell": _raw(
+            lambda raw: _rounded(
+                G.manova_tests(_responses(raw), "site", ("dwell_sec", "arrival_hour")),
+                statistic=9, approx_f=6, p_value=6,
+            )
+        ),
         "tukey_dwell": _raw(
             lambda raw: _rounded(
                 G.tukey(_responses(raw), "site", "dwell_sec"),

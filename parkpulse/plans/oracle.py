@@ -346,6 +346,24 @@ SELECT k - 1 AS df_between, n - k AS df_within, round(pillai, 9) AS pillai,
   round(pow(t, den_df / 2) * (1 + den_df / 2 * (1 - t)), 6) AS p_value  -- exact for num_df = 4
 FROM x"""
 
+# Roots of two responses by the quadratic formula; the F tails are exact for 4 and 2 degrees of freedom.
+MANOVA_TESTS = f"""{MANOVA[: MANOVA.index("v AS (")]}v AS (
+  SELECT n, k, (haa * tbb - 2 * hab * tab + hbb * taa) / (taa * tbb - tab * tab) AS tr,
+    (haa * hbb - hab * hab) / (taa * tbb - tab * tab) AS det FROM s),
+r AS (
+  SELECT *, (tr + sqrt(tr * tr - 4 * det)) / 2 AS a, (tr - sqrt(tr * tr - 4 * det)) / 2 AS b, (n - k)::DOUBLE AS e FROM v),
+f AS (
+  SELECT n, k, 'pillai' AS test, a + b AS statistic, (e - 3 + 3) / 2 * (a + b) / (2 - (a + b)) AS approx_f,
+    4::DOUBLE AS num_df, 2 * e AS den_df FROM r
+  UNION ALL SELECT n, k, 'wilks', (1 - a) * (1 - b), (1 / sqrt((1 - a) * (1 - b)) - 1) * (2 * e - 2) / 4, 4, 2 * e - 2 FROM r
+  UNION ALL SELECT n, k, 'hotelling_lawley', a / (1 - a) + b / (1 - b),
+    (2 * e - 4) * (a / (1 - a) + b / (1 - b)) / 8, 4, 2 * e - 4 FROM r
+  UNION ALL SELECT n, k, 'roy', a / (1 - a), e * a / (1 - a) / 2, 2, e FROM r),
+x AS (SELECT *, den_df / (den_df + num_df * approx_f) AS t FROM f)
+SELECT test, k - 1 AS df_between, n - k AS df_within, round(statistic, 9) AS statistic, round(approx_f, 6) AS approx_f,
+  num_df, den_df, round(pow(t, den_df / 2) * CASE WHEN num_df = 4 THEN 1 + den_df / 2 * (1 - t) ELSE 1 END, 6) AS p_value
+FROM x"""
+
 # Normal distribution function after Abramowitz and Stegun 26.2.17 (error below 1e-7).
 _PHI = """(CASE WHEN {0} >= 0 THEN 1 ELSE 0 END + CASE WHEN {0} >= 0 THEN -1 ELSE 1 END
   * exp(-({0}) * ({0}) / 2) / sqrt(2 * pi()) * (0.319381530 * {1} - 0.356563782 * pow({1}, 2)
@@ -565,6 +583,7 @@ FROM sums""",
         .replace("dwell_sec::DOUBLE", "dwell_hours").replace("arrival_hour::DOUBLE", "arrival_hours")
         .replace("'dwell_sec'", "'dwell_hours'").replace("'arrival_hour'", "'arrival_hours'"),
         "manova_dwell": MANOVA,
+        "manova_tests_dwell": MANOVA_TESTS,
         "tukey_dwell": TUKEY,
     }
     for period in ("date", "weekday", "month"):

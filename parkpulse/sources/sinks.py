@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 
 
 def write_table(
-    df: DataFrame, path: str, fmt: str = "parquet", by: str | None = None, mode: str = "error"
+    df: DataFrame, path: str, fmt: str = "parquet", by: str | None = None, mode: str = "error", only_found: bool = False
 ) -> None:
     """Write `df`; with `by`, into one folder per value.
 
     Rows of one value are brought together first, so a folder holds few files; adaptive execution
     splits a value that is too large for one task. What is at `path` already is only replaced with
-    mode "overwrite".
+    mode "overwrite", with `only_found` only the folders of values that `df` holds.
     """
     if by:
         df = df.hint("rebalance", by)
@@ -20,5 +20,5 @@ def write_table(
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"')
     if by:
-        writer = writer.partitionBy(by)
+        writer = writer.partitionBy(by).option("partitionOverwriteMode", "dynamic" if only_found else "static")
     writer.format(fmt).save(path)

@@ -1,5 +1,6 @@
 """Calendars, rounding, top lists, peaks, summaries and group statistics."""
 
+import numpy as np
 import pytest
 from helpers import TESTDATA
 from pyspark.sql import functions as F
@@ -179,6 +180,50 @@ def test_manova(groups):
     assert 0 < r.p_value < 0.01
 
 
+def test_manova_of_three_responses_by_all_tests(spark):
+    rnd = np.random.default_rng(5)
+    group = np.repeat(np.arange(4), 9)
+    y = rnd.normal(size=(36, 3)) @ [[1, 0.5, 0], [0, 2, 0.3], [0, 0, 1]] + group[:, None] * [0.8, -0.5, 0.1]
+    frame = spark.createDataFrame(
+        [(f"g{g}", *map(float, v)) for g, v in zip(group, y)] + [("g0", None, 1.0, 1.0), (None, 1.0, 1.0, 1.0)],
+        "g string, a double, b double, c double",
+    )
+    got = {r.test: r for r in G.manova_tests(frame, "g", ("a", "b", "c")).collect()}
+    means = np.array([y[group == g].mean(axis=0) for g in range(4)])[group]
+    e, h = (y - means).T @ (y - means), (means - y.mean(axis=0)).T @ (means - y.mean(axis=0))
+    roots = np.sort(np.linalg.eigvals(np.linalg.inv(e) @ h).real)[::-1]
+    expected = {
+        "pillai": np.trace(h @ np.linalg.inv(h + e)),
+        "wilks": np.linalg.det(e) / np.linalg.det(h + e),
+        "hotelling_lawley": np.trace(h @ np.linalg.inv(e)),
+        "roy": roots[0],
+    }
+    assert {t: r.statistic for t, r in got.items()} == pytest.approx(expected, rel=1e-9)
+    # p = 3 responses, q = 3, 32 rows within: s = 3, m = -1/2, n = 14.
+    assert {t: (r.num_df, r.den_df) for t, r in got.items()} == {
+        "pillai": (9.0, 96.0), "wilks": (9.0, pytest.approx(73.16, abs=0.01)), "hotelling_lawley": (9.0, 86.0), "roy": (3.0, 32.0)
+    }
+    assert got["pillai"].approx_f == pytest.approx(96 / 9 * expected["pillai"] / (3 - expected["pillai"]))
+    assert got["hotelling_lawley"].approx_f == pytest.approx(86 * expected["hotelling_lawley"] / 27)
+    assert got["roy"].approx_f == pytest.approx(32 * roots[0] / 3)
+    assert all(0 < r.p_value < 1 for r in got.values())
+    # One response is the plain analysis of variance, whichever test is asked.
+    f = G.anova(frame.na.drop(), "g", ("a",)).first().f_value
+    assert [r.approx_f for r in G.manova_tests(frame.na.drop(), "g", ("a",)).collect()] == pytest.approx([f] * 4)
+
+
+def test_manova_of_redundant_constant_and_missing_data(spark):
+    frame = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 4.0), ("b", 4.0, 8.0), ("b", 5.5, 11.0)], "g string, y double, z double")
+    assert all(r.statistic is None and r.p_value is None for r in G.manova_tests(frame, "g", ("y", "z")).collect())
+    constant = frame.withColumn("z", F.lit(3.0))
+    assert all(r.statistic is None for r in G.manova_tests(constant, "g", ("y", "z")).collect())
+    assert G.manova_tests(frame.limit(0), "g", ("y",)).count() == 0
+    assert G.manova_tests(frame.where("g = 'a'"), "g", ("y",)).count() == 0
+    apart = frame.withColumn("y", F.when(F.col("g") == "a", 0.0).otherwise(1.0))
+    got = {r.test: r for r in G.manova_tests(apart, "g", ("y",)).collect()}
+    assert got["pillai"].statistic == pytest.approx(1.0) and got["wilks"].statistic == pytest.approx(0.0, abs=1e-12)
+
+
 def test_tukey(groups):
     rows = {r.comparison: r for r in G.tukey(groups, "g", "y").collect()}
     assert set(rows) == {"b-a", "c-a", "c-b"}
