@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, IntegralType
+from pyspark.sql.types import ArrayType, DecimalType, DoubleType, IntegralType
 
 from parkpulse.functions.distributions import f_p_value, range_critical_value, range_p_value
 
@@ -91,7 +91,7 @@ def anova(df: DataFrame, group: str, responses: tuple[str, ...]) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _roots(between: pd.Series, total: pd.Series) -> pd.Series:
     """Eigenvalues of total^-1 * between, largest first, for one pair of matrices a row.
 
