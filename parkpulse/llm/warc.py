@@ -9,6 +9,12 @@ by URL key and time. Runs are dealt out by ranges of (key, time, page_id); withi
 tree merges the runs, so the output is in global order: all captures of a URL in a row, by time.
 Ranges include the page_id, so one URL with very many captures is spread over many tasks.
 
+Archives are cut by number of records in classes of size (SIZES), each written on its own, so an archive
+stays below 128 MB or holds one record; a page may be as long as a row can be.
+
+The pages carry no time of capture, so it is derived: the page id modulo SPAN seconds after EPOCH, in UTC
+whatever zone the session has. Any BIGINT, negative ones too, is a page id.
+
 Null html is an empty payload; a null url has no target and the empty key, which comes first.
 Repeated rows give repeated records; two rows with the largest page_id are both responses. A null
 page_id is kept. Payloads are equal when SHA-1 and length are. Other columns are ignored.
@@ -27,10 +33,12 @@ from pyspark.sql import functions as F
 from parkpulse.llm.shared import partitions, read_table, shared_folder, written
 
 REVISIT_BYTES = 1000
-#: Records of one archive; a task reads an archive as a whole.
-ARCHIVE_RECORDS = 2000
-#: Time of the capture of page 0; the pages carry none.
-EPOCH = 1704067200
+#: (payload bytes below which, records of one archive); a task reads an archive as a whole.
+SIZES = ((1 << 16, 2000), (1 << 21, 64), (None, 1))
+#: Captures that a task merges.
+RANGE_CAPTURES = 200_000
+#: Time of the capture of page 0, and the seconds over which captures are spread.
+EPOCH, SPAN = "2024-01-01 00:00:00", 1_000_000_000
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _INDEX = (
@@ -77,7 +85,11 @@ def _record():
 
     nothing = F.lit("")
     revisit = F.col("record_type") == "revisit"
-    seconds = F.timestamp_seconds(F.lit(EPOCH) + F.coalesce("page_id", F.lit(0)))
+    seconds = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SPAN))
+    nought = F.lit(0)
+    # Without a zone from end to end: a zone would shift times, or skip an hour in spring.
+    time = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(nought, nought, nought, seconds.cast("decimal(18,6)"))
+    date = F.concat(F.replace(time.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
     url = F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
@@ -89,7 +101,7 @@ def _record():
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", record_id("page_id")),
-        line("WARC-Date", F.date_format(seconds, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", date),
         F.coalesce(line("WARC-Target-URI", url), nothing),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", record_id("refers_to")))).otherwise(nothing),
@@ -101,15 +113,23 @@ def _record():
 
 
 def write_archives(pages: DataFrame, folder: str) -> None:
-    """Write a record per page into gzipped archives of at most ARCHIVE_RECORDS records."""
-    (
-        with_record_types(pages)
-        .select(_record().alias("value"))
-        .write.option("lineSep", "\r\n\r\n")
-        .option("maxRecordsPerFile", ARCHIVE_RECORDS)
-        .option("compression", "gzip")
-        .text(folder)
-    )
+    """Write a record per page into gzipped archives, of as many records as SIZES gives for their size."""
+    typed = with_record_types(pages)
+    least = 0
+    for below, count in SIZES:
+        of_size = F.col("payload_bytes") >= least
+        if below is not None:
+            of_size &= F.col("payload_bytes") < below
+            least = below
+        (
+            typed.where(of_size)
+            .select(_record().alias("value"))
+            .write.mode("append")
+            .option("lineSep", "\r\n\r\n")
+            .option("maxRecordsPerFile", count)
+            .option("compression", "gzip")
+            .text(folder)
+        )
 
 
 def url_key(url: str | None) -> str:
@@ -223,7 +243,8 @@ def merge_runs(captures: DataFrame, ranges: int | None = None) -> DataFrame:
     """All captures in global order of (url_key, captured, page_id).
 
     Every shuffled block is a piece of one sorted run. A range finds the runs it was sent where the
-    order breaks, so it relies on nothing about how they arrive, and merges them.
+    order breaks, so it relies on nothing about how they arrive, and merges them. Without `ranges`
+    there are as many as keep a range near RANGE_CAPTURES.
     """
 
     def run(batches):
@@ -232,7 +253,7 @@ def merge_runs(captures: DataFrame, ranges: int | None = None) -> DataFrame:
         order = list(LoserTree(keys, natural_runs(keys)).merged())
         yield from table.take(pa.array(order, pa.int64())).to_batches(max_chunksize=10_000)
 
-    n = ranges or partitions(captures.sparkSession)
+    n = ranges or max(partitions(captures.sparkSession), -(-captures.count() // RANGE_CAPTURES))
     return captures.repartitionByRange(n, "url_key", "captured", "page_id").mapInArrow(run, _INDEX)
 
 

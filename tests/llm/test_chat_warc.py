@@ -1,6 +1,8 @@
 """Chat formatting and WARC archives: folds, round trips and merges."""
 
 import random
+from collections import Counter
+from datetime import datetime, timedelta
 
 import pytest
 from hypothesis import given, settings
@@ -61,7 +63,7 @@ def pages(spark):
 
 
 def test_archives_round_trip_in_global_order(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 7)
+    monkeypatch.setattr(warc, "SIZES", ((1000, 7), (1510, 3), (None, 1)))
     frame, rows = pages(spark)
     warc.write_archives(frame, str(tmp_path / "w"))
     runs = warc.capture_runs(spark, str(tmp_path / "w"))
@@ -76,6 +78,37 @@ def test_archives_round_trip_in_global_order(spark, tmp_path, monkeypatch):
     assert next(r.payload_bytes for r in merged if r.page_id == 4) == 0
 
 
+@pytest.mark.parametrize("zone", ["Asia/Seoul", "America/New_York"])
+def test_any_page_id_gets_a_time_in_utc(spark, tmp_path, zone):
+    # 6,042,600 seconds after the epoch is 2024-03-10 02:30, an hour that New York skips.
+    ids = [1, 6_042_600, 10**14, 3 * 10**11, 2**63 - 1, -(2**63), -1, None]
+    frame = spark.createDataFrame([(i, "http://a.example/", "x") for i in ids], "page_id bigint, url string, html string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        warc.write_archives(frame, str(tmp_path / "w"))
+        merged = warc.merge_runs(warc.capture_runs(spark, str(tmp_path / "w")), ranges=2).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    start = datetime(2024, 1, 1)
+    expected = {i: (start + timedelta(seconds=(i or 0) % warc.SPAN)).strftime("%Y-%m-%dT%H:%M:%SZ") for i in ids}
+    assert {r.page_id: r.captured for r in merged} == expected
+    assert [r.captured for r in merged] == sorted(expected.values())
+
+
+def test_long_pages_have_archives_of_their_own(spark, tmp_path):
+    long = ["é" * (3 << 20), "x" * (25 << 20)]
+    rows = [(i, "http://a.example/", "p" * 70_000 + str(i)) for i in range(70)] + list(zip((100, 101), ("u", "v"), long))
+    rows += [(i, "http://b.example/", str(i)) for i in range(200, 220)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(frame, str(tmp_path / "w"))
+    captures = warc.capture_runs(spark, str(tmp_path / "w")).collect()
+    assert {r.page_id: r.payload_bytes for r in captures} == {i: len(h.encode()) for i, _, h in rows}
+    sizes = Counter(r.archive for r in captures)
+    assert sorted(sizes.values()) == [1, 1, 6, 20, 64]
+    assert all(sizes[r.archive] == 1 for r in captures if r.page_id in (100, 101))
+
+
 def test_no_pages(spark, tmp_path):
     frame, _ = pages(spark)
     warc.write_archives(frame.limit(0), str(tmp_path / "w"))
