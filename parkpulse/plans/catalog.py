@@ -16,7 +16,10 @@ from parkpulse.operators.classify import status_label
 from parkpulse.operators.parse import parse_precedence, site_of, with_names
 from parkpulse.operators.stays import enrich_stays
 from parkpulse.plans import pipeline as P
+from parkpulse.plans.batch import run_batch
 from parkpulse.sources.events import messages_from_events
+from parkpulse.sources.sinks import work_folder
+from parkpulse.sources.tables import digest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -159,6 +162,18 @@ def _messages(raw: DataFrame) -> DataFrame:
     )
 
 
+def _table(name: str, *columns: str) -> Query:
+    """A table of the batch run as written and read back. Within an application the run is brought
+    up to date, so the tables are written once however many of them are asked for."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = work_folder(spark, f"batch-{digest(sf_dir)[:16]}")
+        table = run_batch(messages_from_events(spark, sf_dir), out, SELECTED, SITES, mode="update")[name]
+        return table.select(*columns) if columns else table
+
+    return query
+
+
 def catalog() -> dict[str, Query]:
     q: dict[str, Query] = {
         # messages
@@ -349,6 +364,19 @@ def catalog() -> dict[str, Query]:
             )
         ),
     }
+    # tables of the batch run
+    q["table_messages"] = _table("messages")
+    q["table_coded_messages"] = _table("coded_messages", *MESSAGE)
+    q["table_error_summary"] = _table("error_summary")
+    q["table_sequence_errors_daily"] = _table("sequence_errors_daily")
+    q["table_error_rates_monthly"] = _table("error_rates_monthly")
+    q["table_error_rates_selected"] = _table("error_rates_selected")
+    q["table_error_rates_wide"] = _table("error_rates_wide")
+    q["table_stays"] = _table("stays")
+    q["table_stay_summary"] = _table("stay_summary")
+    q["table_occupancy"] = _table("occupancy", "sensor", "hour", "occupied_sec", "date")
+    q["table_occupancy_profile"] = _table("occupancy_profile")
+    q["table_occupancy_summary"] = _table("occupancy_summary")
     for period in ("date", "weekday", "month"):
         q[f"occupancy_site_{period}"] = _raw(lambda raw, p=period: R.with_mean_share(_sparse(raw, p)))
         q[f"occupancy_{period}_all"] = _raw(lambda raw, p=period: _over_sites(_sparse(raw, p), p))

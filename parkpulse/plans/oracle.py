@@ -586,6 +586,17 @@ FROM sums""",
         "manova_tests_dwell": MANOVA_TESTS,
         "tukey_dwell": TUKEY,
     }
+    tables = {
+        "messages": "parsed_messages", "coded_messages": "status_v1_post_report", "error_summary": "error_summary_batch",
+        "sequence_errors_daily": "sequence_errors_daily", "error_rates_monthly": "error_rate_site_month",
+        "error_rates_selected": "error_rate_selected_month", "error_rates_wide": "error_rate_site_month_wide",
+        "stay_summary": "stay_summary", "occupancy_profile": "occupancy_profile_transposed",
+        "occupancy_summary": "occupancy_summary_stats",
+    }
+    for table, same in tables.items():
+        q[f"table_{table}"] = q[same]
+    q["table_stays"] = f"SELECT *, CAST(in_ts AS DATE) AS in_date FROM ({q['stays_enriched']})"
+    q["table_occupancy"] = f"{BATCH_STAYS + CELLS} SELECT sensor, hour, occupied_sec, CAST(hour AS DATE) AS date FROM cells"
     for period in ("date", "weekday", "month"):
         mean = "(SELECT round(avg(occupancy_pct), 1) FROM by_site) AS reference"
         q[f"occupancy_site_{period}"] = f"{_sparse(period)} SELECT *, {mean} FROM by_site"

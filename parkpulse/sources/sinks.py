@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application below `spark.checkpoint.dir`, which all executors share.
+
+    Only a local session in which that is unset (tests) uses the temporary folder of the machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        base = Path(tempfile.gettempdir()).as_uri()
+    return f"{base.rstrip('/')}/parkpulse-{spark.sparkContext.applicationId}/{name}"
 
 
 def write_table(
