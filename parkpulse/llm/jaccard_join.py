@@ -22,9 +22,10 @@ shingle. Two documents link when 100 * |intersection| >= 80 * |union|.
 A shingle that very many documents hold in their prefix is cut into blocks: each document goes to
 every pair of blocks that includes its own, so that no task holds a whole posting (BLOCK).
 
-Null or blank text has an empty set and links with nothing. Rows repeated with one doc_id must repeat
-its text and share the result; a null doc_id keeps a null component and links with nothing. Other
-columns are ignored. Shingles are compared by 64-bit hashes.
+Null or blank text has an empty set and links with nothing. Repeated rows share the result. Where
+different texts bear one doc_id, each row is a document of its own: it links by its own text, and its
+component is named by the smallest doc_id reached from that text. A null doc_id keeps a null component
+and links with nothing. Other columns are ignored. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -391,8 +392,23 @@ def _linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return written(checked)
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of `docs`."""
+def _by_rows(docs: DataFrame, without_id: DataFrame) -> DataFrame:
+    """`jaccard_components` where a doc_id bears different texts: rows get ids of their own, written once."""
+    key = F.monotonically_increasing_id().alias("key")
+    keyed = written(docs.where("doc_id IS NOT NULL").select(key, "doc_id", "text"))
+    found = jaccard_components(keyed.select(F.col("key").alias("doc_id"), "text"), own_ids=True)
+    found = found.select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("component"))
+    placed = written(found.join(keyed.select("key", "doc_id"), "key").drop("key"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = placed.join(least, "component").select("doc_id", "n_shingles", "component_id")
+    return named.union(without_id.select("doc_id", "n_shingles", "doc_id"))
+
+
+def jaccard_components(docs: DataFrame, own_ids: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of `docs`.
+
+    With `own_ids` the caller vouches that no two rows share a doc_id; otherwise that is looked up.
+    """
     shards = partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     with arrow_batches(docs.sparkSession, TEXT_ROWS):
@@ -401,6 +417,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     levels = _levels(first.where("segment IS NOT NULL").select("segment", "counts"))
 
     known = rows.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    if not own_ids:
+        sets = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(
+            F.min("digest").alias("first"), F.max("digest").alias("last"), F.min(F.col("digest").isNull()).alias("full"),
+            F.max(F.col("digest").isNull()).alias("empty"),
+        )
+        if sets.where("first <> last OR full <> empty").limit(1).count():
+            return _by_rows(docs, rows.where("doc_id IS NULL"))
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("size")))
     copies = written(
         known.join(classes.where("size > 1"), "digest").where("doc_id <> head").select("doc_id").distinct()

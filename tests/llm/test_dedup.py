@@ -107,3 +107,14 @@ def test_components_of_a_path_and_a_star(spark):
     links = spark.createDataFrame(path + star + [(1, 1)], "a bigint, b bigint").repartition(7)
     got = {r.node: r.component for r in graph.components(links).collect()}
     assert all(got[i] == 100 for i in range(100, 141)) and all(got[i] == 5 for i in (5, *range(200, 260)))
+
+
+def test_different_texts_of_one_id_keep_their_links(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    schema = "doc_id bigint, text string"
+    of = lambda *data: sorted(map(tuple, J.jaccard_components(spark.createDataFrame(data, schema)).collect()), key=str)
+    rows = [(1, a), (1, b), (2, a), (3, b + " x"), (4, a + " y"), (None, a)]
+    assert of(*rows) == sorted([(1, 36, 1), (1, 36, 1), (2, 36, 1), (3, 37, 1), (4, 37, 1), (None, 36, None)], key=str)
+    # Each row by its own text: one id, two components; an empty text beside a full one.
+    rows = [(5, a), (5, b), (5, None), (2, a + " y"), (3, b), (3, b)]
+    assert of(*rows) == sorted([(5, 36, 2), (5, 36, 3), (5, 0, 5), (2, 37, 2), (3, 36, 3), (3, 36, 3)], key=str)
