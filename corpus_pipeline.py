@@ -63,7 +63,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents connected by links one stays."""
     docs, key = _keyed(docs)
-    linked = written(jaccard_join.jaccard_components(_by_key(docs, key)).where("component_id <> doc_id"))
+    linked = written(jaccard_join.jaccard_components(_by_key(docs, key), own_ids=True).where("component_id <> doc_id"))
     groups = linked.select(F.col("doc_id").alias("gone_key"), F.col("component_id").alias("group"))
     heads = linked.select(F.col("component_id").alias("gone_key"), F.col("component_id").alias("group")).distinct()
     return _without(docs, key, _all_but_first(groups.union(heads), docs, key))
