@@ -82,7 +82,7 @@ def test_registered():
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("benchmark", "documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     frame = catalog.queries()[name](spark, sf)
     columns = ", ".join(frame.columns)
