@@ -168,7 +168,8 @@ def _table(name: str, *columns: str) -> Query:
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = work_folder(spark, f"batch-{digest(sf_dir)[:16]}")
-        table = run_batch(messages_from_events(spark, sf_dir), out, SELECTED, SITES, mode="update")[name]
+        raw = messages_from_events(spark, sf_dir, spread=True)
+        table = run_batch(raw, out, SELECTED, SITES, mode="update")[name]
         return table.select(*columns) if columns else table
 
     return query

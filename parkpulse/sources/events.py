@@ -10,9 +10,15 @@ from parkpulse.functions import vocabulary as V
 SHIFT_DAYS = 715
 
 
-def messages_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw messages (row_id, sensor, payload, send_ts) with the payload as devices send it."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+def messages_from_events(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Raw messages (row_id, sensor, payload, send_ts) with the payload as devices send it.
+
+    One task reads a row group, however large it is, and would also do all that follows up to the next
+    shuffle. With `spread` the narrow events are dealt to all tasks first, by all of their columns.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "props")
+    if spread:
+        events = events.repartition(*events.columns)
     k = F.get_json_object("props", "$.k").cast("int")
     error = F.col("event_type") == "error"
     site = F.get(F.array(F.lit("대신"), F.lit("옥천"), F.lit("영천")), F.col("user_id") % 3)

@@ -17,6 +17,7 @@ import hashlib
 import json
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,7 +119,9 @@ class Tables:
     def _commit(self, name: str, state: _State) -> _State:
         head = (None, "whole" if state.whole else "days", state.made_from, state.shape)
         lines = [head, *((part, content, None, None) for part, content in state.parts.items())]
-        table = self.spark.createDataFrame(lines, _MANIFEST)
+        # As Arrow columns the lines need no Python worker.
+        columns = [pa.array(column, pa.string()) for column in zip(*lines, strict=True)]
+        table = self.spark.createDataFrame(pa.Table.from_arrays(columns, names=["part", "content", "made_from", "shape"]), _MANIFEST)
         table.coalesce(1).write.mode("overwrite").json(f"{self.out}/manifests/{name}")
         return state
 

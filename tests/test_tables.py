@@ -10,6 +10,7 @@ from parkpulse.functions.timeparts import in_days
 from parkpulse.operators import reports as R
 from parkpulse.plans import batch
 from parkpulse.sources import tables as T
+from parkpulse.plans import catalog as catalog_module
 from parkpulse.sources.events import messages_from_events
 
 CHOSEN = ("대신졸음쉼터_#00003",)
@@ -181,3 +182,26 @@ def test_stays_under_way_are_found_from_earlier_folders(fresh):
     assert rows(got) == rows(brute)
     assert one.in_ts in [r.in_ts for r in got.collect()]
     assert partition_filters(got)
+
+
+def test_rows_of_one_row_group_are_dealt_to_all_tasks(spark, monkeypatch):
+    """A row group is read by one task, which must not parse it alone as well."""
+    seen = {}
+
+    def batch(raw, *_, **__):
+        seen["raw"] = raw
+        return {"messages": raw}
+
+    monkeypatch.setattr(catalog_module, "run_batch", batch)
+    catalog_module.catalog()["table_messages"](spark, f"{TESTDATA}/sf0.001")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        tasks = seen["raw"].select(F.spark_partition_id().alias("task"), "payload").groupBy("task").agg(F.max("payload"), F.count("*"))
+        rows = [r[2] for r in tasks.collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert len(rows) > 1 and max(rows) < 0.6 * sum(rows)
+    same = messages_from_events(spark, f"{TESTDATA}/sf0.001")
+    assert sorted(map(tuple, seen["raw"].collect())) == sorted(map(tuple, same.collect()))
