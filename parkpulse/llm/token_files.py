@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ END = 1
 BLOCK_BYTES = 4 << 20
 #: Distinct runs remembered by a worker between blocks.
 REMEMBER = 500_000
+#: New runs that are encoded as one text.
+JOINED = 2000
 
 LAYOUT = {
     "parquet.block.size": str(32 << 20),
@@ -67,10 +69,15 @@ class WordEncoder:
     such marks, and whose normaliser joins nothing across these places: then the ids of a text are
     those of its runs in turn. Runs are found and told apart by their bytes, in Arrow's hash table. A
     block with the beginning of a special token is encoded text by text instead.
+
+    New runs are encoded many at a time, with MARKER as a word after each; one by one if a run holds it,
+    or if the tokenizer has no id for it alone. Of too many runs those that stood in one block only are
+    forgotten.
     """
 
     SPECIAL = b"<|"
     MARKS = b".,!?;:%&*#$"
+    MARKER = "\x01"
     _WORD, _MARK, _SPACE = 1, 2, 4
 
     def __init__(self, tokenizer):
@@ -83,20 +90,44 @@ class WordEncoder:
         self.fold = np.arange(256, dtype=np.uint8)
         self.fold[65:91] += 32
         self.fold[~NOT_SPACE] = 0x20
-        self._forget()
-
-    def _forget(self) -> None:
+        #: The id of MARKER where it stands as a word of its own, if no other text has it.
+        alone, other, beside = (tokenizer.encode(x, add_special_tokens=False).ids for x in (self.MARKER, "\x02", f"a {self.MARKER} ,"))
+        apart = [tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", ",")]
+        self.marker = alone[0] if len(alone) == 1 and alone != other and beside == [*apart[0], *alone, *apart[1]] else None
         self.known: dict[bytes, int] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        #: Blocks in which each known run stood.
+        self.blocks = np.zeros(0, np.int32)
+
+    def _forget(self) -> None:
+        keep = self.blocks > 1
+        if 2 * np.count_nonzero(keep) > REMEMBER:
+            keep[:] = False
+        self.known = dict(zip(compress(self.known, keep.tolist()), range(len(keep))))
+        starts, self.sizes, self.blocks = self.starts[keep], self.sizes[keep], np.ones(len(self.known), np.int32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = self.flat[np.arange(int(self.sizes.sum())) + np.repeat(starts - self.starts, self.sizes)]
+
+    def _encoded(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids by run) of new runs."""
+        mark = self.MARKER.encode()
+        texts = [b" ".join(x for run in runs[i : i + JOINED] for x in (run, mark)) for i in range(0, len(runs), JOINED)]
+        if self.marker is None or sum(t.count(mark) for t in texts) != len(runs):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        flat = np.concatenate([np.array(x, np.int32) for x in ids])
+        cuts = np.flatnonzero(flat == self.marker)
+        return flat[flat != self.marker], np.diff(cuts, prepend=-1) - 1
 
     def _learn(self, runs: list[bytes]) -> None:
         self.known.update(zip(runs, range(len(self.known), len(self.known) + len(runs)), strict=True))
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast([r.decode() for r in runs], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        flat, sizes = self._encoded(runs)
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, flat])
+        self.blocks = np.concatenate([self.blocks, np.zeros(len(runs), np.int32)])
 
     def _runs(self, bytes_: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """(runs, number of the first run of each document)."""
@@ -124,6 +155,7 @@ class WordEncoder:
         if new:
             self._learn(new)
         place = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+        self.blocks[place] += 1
         which = place[coded.indices.to_numpy()]
         sizes = self.sizes[which]
         total = np.concatenate([[0], np.cumsum(sizes)])

@@ -5,6 +5,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -98,3 +99,42 @@ def test_layout_of_token_files(spark, folder):
 def test_no_documents_give_no_ids(no_docs, tmp_path):
     files = token_files.write_ids(no_docs, WORDS, str(tmp_path / "none"))
     assert token_files.checksums(token_files.document_starts(files)).count() == 0
+
+
+class Counting:
+    """A tokenizer that counts the texts it is given at once."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def __getattr__(self, name):
+        return getattr(self.tokenizer, name)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def word_ids(encoder, texts):
+    raw = [t.encode() for t in texts]
+    at = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    ids, offsets = encoder.ids(np.frombuffer(b"".join(raw), np.uint8), at)
+    return [ids[a:z].tolist() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+def test_new_runs_are_encoded_together_and_common_ones_kept(monkeypatch):
+    tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    monkeypatch.setattr(token_files, "REMEMBER", 60)
+    encoder = token_files.WordEncoder(Counting(tokenizer))
+    odd = ["", " ", "'s 's", "́a ́", "Ab,'ll;x", "a  ", "　 b", "1 23.4", "it's <b> <", "Å̇"]
+    common = [" ".join(f"word{i % 7}" for i in range(20))]
+    for block in range(8):
+        rare = [" ".join(f"r{block}x{i}" for i in range(25))]
+        texts = [*odd, *common, *rare]
+        assert word_ids(encoder, texts) == [[*tokenizer.encode(t, add_special_tokens=False).ids, token_files.END] for t in texts]
+    assert encoder.tokenizer.texts <= 8
+    assert b" word1" in encoder.known and b" r0x3" not in encoder.known
+    # The word that stands between runs may be in a text as well.
+    texts = ["a \x01 b", "\x01,\x01", "c\x01d <|x"]
+    for t in (texts[:2], texts):
+        assert word_ids(encoder, t) == [[*tokenizer.encode(x, add_special_tokens=False).ids, token_files.END] for x in t]
